@@ -188,7 +188,7 @@ def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", ids_c
     Narrow: no shuffle, and a batch is worked off in runs of bounded size. Null and empty texts have no ids (and decode to
     no bytes). Special tokens are ordinary text. Repeated rows are kept. The new columns replace columns of df of the same name.
     """
-    new = [StructField(ids_col, ArrayType(IntegerType(), False))] + [StructField(decoded_col, BinaryType())] * bool(decoded_col)
+    new = [StructField(ids_col, ArrayType(IntegerType()))] + ([StructField(decoded_col, BinaryType())] if decoded_col else [])
     kept = [c for c in df.columns if c not in {f.name for f in new}]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
