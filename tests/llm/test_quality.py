@@ -59,7 +59,7 @@ def test_ratios_and_verdicts(spark):
     n, m = 2 * sum(uni.values()), 2 * sum(good.values())
     k = quality.BUCKETS
     want = log(((good["###"] + (uni["###"] + 1) * k / (n + k)) / (m + k)) / ((uni["###"] + 1) / (n + k)))
-    assert ratios[h["###"]] == pytest.approx(want, abs=0.2) and ratios[h["###"]] < -1 < 0 < ratios[h["of"]]
+    assert ratios[h["###"]] == pytest.approx(want, abs=1e-6) and ratios[h["###"]] < -0.2 < 0 < ratios[h["of"]]
 
 
 def test_no_trusted_text_and_empty_table(spark):
