@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -54,6 +55,12 @@ def drop_scratch(df: DataFrame) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def free_shuffles(df: DataFrame) -> None:
+    """Let Spark delete the shuffle files of jobs that are over, which it does as the driver collects its garbage."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
 def word_chunks(text: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
     """The words of a text, in lists of about size bytes, so that a huge text is never split at once."""
     at, n = 0, len(text)
