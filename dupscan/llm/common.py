@@ -7,6 +7,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,6 +56,22 @@ def drop_scratch(df: DataFrame) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+@contextmanager
+def unmeasured_batches(spark: SparkSession) -> Iterator[None]:
+    """For what is computed inside: rows go to Python in batches bounded by their number alone.
+
+    Spark measures a batch anew for every row, which for narrow rows costs more than all else; for rows of bounded width
+    the number bounds the bytes as well.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str((1 << 31) - 1))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def free_shuffles(df: DataFrame) -> None:
     """Let Spark delete the shuffle files of jobs that are over, which it does as the driver collects its garbage."""
     gc.collect()

@@ -71,8 +71,9 @@ def _seed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keys, nodes, places = [], [], []
         for node, text in zip(batch.column("node").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            key, at = seeds(word_hashes(text))
-            if len(key):
+            words = word_hashes(text)
+            key, at = seeds(words)
+            if len(words) >= MIN_WORDS:
                 first = np.zeros(len(key), bool)
                 first[np.unique(key, return_index=True)[1]] = True
                 keys.append(key)
@@ -243,7 +244,7 @@ def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     out: list[list] = [[] for _ in range(5)]
 
     def batch() -> pa.RecordBatch:
-        types = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int32()))
+        types = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary())
         made = pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], [*_PAIR, "chains"])
         for x in out:
             x.clear()
@@ -256,7 +257,7 @@ def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             flat.append(len(chain))
             for i in chain:
                 flat += (c[i], a[i])
-        for x, v in zip(out, (*(group.column(k)[0].as_py() for k in _PAIR), flat), strict=True):
+        for x, v in zip(out, (*(group.column(k)[0].as_py() for k in _PAIR), np.array(flat, np.int32).tobytes()), strict=True):
             x.append(v)
         if len(out[0]) == 4096:
             yield batch()
@@ -275,9 +276,11 @@ def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # rows that agree in id and text bring the same stretch more than once
         rows = group.to_pylist()
         first, second = rows[0], rows[-1]
+        if first["side"] == second["side"]:
+            raise ValueError("a stretch of a pair is missing")
         c, a = (np.frombuffer(x["words"], "<u4") for x in (first, second))
         c_at, a_at = (max(0, x["seg"] * CORE - MARGIN) for x in (first, second))
-        flat, at = first["chains"], 0
+        flat, at = np.frombuffer(first["chains"], np.int32).tolist(), 0
         covered: list[tuple[int, int, int]] = []
         while at < len(flat):
             n = flat[at]
@@ -344,11 +347,11 @@ def find_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     pos = F.when(F.col("pos") < 0, F.bitwise_not("pos")).otherwise(F.col("pos"))
     matches = found.join(firsts, "key").where("node != a_node").select(F.col("node").alias("c_node"), pos.alias("c_pos"), "a_node", "a_pos")
     matches = matches.select("c_node", F.expr(f"c_pos div {CORE}").cast("int").alias("c_seg"), "a_node", F.expr(f"a_pos div {CORE}").cast("int").alias("a_seg"), "c_pos", "a_pos")
-    links = matches.repartition(*_PAIR).sortWithinPartitions(*_PAIR, "c_pos").mapInArrow(_chained, "c_node bigint, c_seg int, a_node bigint, a_seg int, chains array<int>")
+    links = matches.repartition(*_PAIR).sortWithinPartitions(*_PAIR, "c_pos").mapInArrow(_chained, "c_node bigint, c_seg int, a_node bigint, a_seg int, chains binary")
     links = scratch(links.withColumn("link", F.monotonically_increasing_id()), "links")
     free_shuffles(docs)
     one = links.select("link", F.lit(0).alias("side"), F.col("c_node").alias("node"), F.col("c_seg").alias("seg"), "chains")
-    two = links.select("link", F.lit(1), "a_node", "a_seg", F.lit(None).cast("array<int>"))
+    two = links.select("link", F.lit(1), "a_node", "a_seg", F.lit(None).cast("binary"))
     sides = one.union(two)
     words = rows.mapInArrow(_stretches, "node bigint, seg int, words binary")
     both = sides.join(words, ["node", "seg"]).repartition("link").sortWithinPartitions("link", "side")
