@@ -41,7 +41,7 @@ def scratch(df: DataFrame, label: str, partitions: int | None = None) -> DataFra
     path = f"{shared_dir(spark)}/dupscan-{label}-{uuid.uuid4().hex}"
     if partitions:
         df = df.coalesce(partitions)
-    df.write.parquet(path)
+    df.write.parquet(path, compression="zstd")
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)

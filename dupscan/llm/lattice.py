@@ -29,12 +29,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, DoubleType, LongType, StructField, StructType
 
-from dupscan.llm.common import drop_scratch, scratch, word_chunks
+from dupscan.llm.common import drop_scratch, free_shuffles, scratch, unmeasured_batches, word_chunks
 
 #: Bytes of text of a block, about, and its documents at most (a place has two bytes for them).
-BLOCK_BYTES, BLOCK_ROWS = 16 << 20, 1 << 16
+BLOCK_BYTES, BLOCK_ROWS = 32 << 20, 1 << 16
 #: Bytes of the longest piece that is used.
 LONGEST = 16
 #: Steps of expectation maximisation, and the weight of the vocabulary's own scores in words.
@@ -212,6 +212,18 @@ def _tokens(text: str | None) -> Iterator[list[bytes]]:
     yield from word_chunks((text or "").encode().lower())
 
 
+def _pack(ids: pa.Array) -> bytes:
+    """An array as bytes, which pass between Spark and Python faster than lists."""
+    sink, batch = pa.BufferOutputStream(), pa.record_batch([ids], ["id"])
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpack(raw: bytes) -> pa.Array:
+    return pa.ipc.open_stream(raw).read_all().column("id").combine_chunks()
+
+
 def _blocks(id_type: pa.DataType):
     """Batches of (id, text, train) -> rows (block, word, places, train, ids); the empty word is the end."""
 
@@ -236,7 +248,7 @@ def _blocks(id_type: pa.DataType):
                 b = min(a + (1 << 16), len(keys))
                 offsets = pa.array((ends[a : b + 1] - ends[a]).astype(np.int32)).buffers()[1]
                 packed = pa.Array.from_buffers(pa.binary(), b - a, [None, offsets, pa.py_buffer(raw[ends[a] : ends[b]])])
-                named = pa.array([ids] + [None] * (b - a - 1) if not a else [None] * (b - a), pa.list_(id_type))
+                named = pa.array([None if a else _pack(pa.array(ids, id_type)), *[None] * (b - a - 1)], pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(b - a, number + made)), pa.array(keys[a:b], pa.binary()), packed, pa.array(train[a:b]), named], ["block", "word", "places", "train", "ids"])
 
         for batch in batches:
@@ -274,7 +286,7 @@ def _log_rising(x: np.ndarray, n: np.ndarray) -> np.ndarray:
     return out
 
 
-def _assemble(id_type: pa.DataType, log_all: float, own: float):
+def _assemble(log_all: float, own: float):
     """Rows sorted by block -> a row a document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,7 +297,7 @@ def _assemble(id_type: pa.DataType, log_all: float, own: float):
             n = len(ids)
             tokens, known, base, score = sums[:, :n]
             score = (score - _log_rising(np.full(n, own), tokens)) / log(10)
-            return pa.RecordBatch.from_arrays([pa.array(ids, id_type), pa.array(tokens.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(base - tokens * log_all), pa.array(score)], ["id", "n_tokens", "n_known", "base_score", "score"])
+            return pa.RecordBatch.from_arrays([ids, pa.array(tokens.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(base - tokens * log_all), pa.array(score)], ["id", "n_tokens", "n_known", "base_score", "score"])
 
         for batch in batches:
             b = batch.column("block").to_numpy()
@@ -298,7 +310,7 @@ def _assemble(id_type: pa.DataType, log_all: float, own: float):
                     block, ids = b[x], None
                     sums[:] = 0
                 for v in part.column("ids").drop_null().to_pylist():
-                    ids = v
+                    ids = _unpack(v)
                 packed = part.column("places").to_pylist()
                 places = np.frombuffer(b"".join(packed), _PLACE)
                 of = np.repeat(np.arange(len(part)), [len(p) // _PLACE.itemsize for p in packed])
@@ -352,9 +364,10 @@ def score_texts(docs: DataFrame, training: Column, path: str, id_col: str = "doc
     key = docs.schema[id_col]
     id_type = to_arrow_type(key.dataType)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(training, F.lit(False)).alias("train"))
-    schema = StructType([StructField("block", LongType()), StructField("word", BinaryType()), StructField("places", BinaryType()), StructField("train", LongType()), StructField("ids", ArrayType(key.dataType))])
+    schema = StructType([StructField("block", LongType()), StructField("word", BinaryType()), StructField("places", BinaryType()), StructField("train", LongType()), StructField("ids", BinaryType())])
     postings = scratch(rows.mapInArrow(_blocks(id_type), schema), "postings")
     counts = scratch(postings.groupBy("word").agg(F.sum("train").alias("c")), "counts")
+    free_shuffles(docs)
     of = counts.agg(F.sum("c").alias("n"), *(F.count_if(F.expr(f"c {x}")).alias(k) for k, x in (("v", "> 0"), ("once", "= 1"), ("twice", "= 2")))).first()
     total, distinct = of.n or 0, of.v or 0
     model = fit(counts.where("c > 0 and word != X''"), path, rounds)
@@ -374,5 +387,9 @@ def score_texts(docs: DataFrame, training: Column, path: str, id_col: str = "doc
     drop_scratch(counts)
     met = postings.join(scored, "word").select("block", "places", "ids", "c", "p").repartition("block").sortWithinPartitions("block")
     out_schema = StructType([StructField("id", key.dataType), *(StructField(k, LongType()) for k in ("n_tokens", "n_known")), *(StructField(k, DoubleType()) for k in ("base_score", "score"))])
-    out = met.mapInArrow(_assemble(id_type, log10(total + 0.1 * (distinct + 1)), own), out_schema)
+    # a block bounds what its rows hold together
+    with unmeasured_batches(docs.sparkSession):
+        out = scratch(met.mapInArrow(_assemble(log10(total + 0.1 * (distinct + 1)), own), out_schema), "scores")
+    drop_scratch(postings)
+    free_shuffles(docs)
     return out.select(F.col("id").alias(id_col), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
