@@ -5,7 +5,7 @@ import hashlib
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dupscan.llm import bpe
@@ -22,9 +22,14 @@ def _digests(ids: pa.Array) -> pa.Array:
     return pa.array([hashlib.sha256(raw[4 * a : 4 * b]).hexdigest() for a, b in zip(ends, ends[1:], strict=False)])
 
 
+def digest_columns() -> list[Column]:
+    """n_tokens, ids_sha256 and decoded_sha256 of the columns ids and decoded."""
+    return [F.size("ids").cast("long").alias("n_tokens"), F.arrow_udf(_digests, "string")("ids").alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")]
+
+
 def digests(docs: DataFrame, *keep: str) -> DataFrame:
     coded = bpe.encode(docs.select(*keep, "text"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN, decoded_col="decoded")
-    return coded.select(*keep, F.size("ids").cast("long").alias("n_tokens"), F.arrow_udf(_digests, "string")("ids").alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return coded.select(*keep, *digest_columns())
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
