@@ -281,16 +281,16 @@ def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c, a = (np.frombuffer(x["words"], "<u4") for x in (first, second))
         c_at, a_at = (max(0, x["seg"] * CORE - MARGIN) for x in (first, second))
         flat, at = np.frombuffer(first["chains"], np.int32).tolist(), 0
-        covered: list[tuple[int, int, int]] = []
+        covered = np.zeros(len(c), bool)
         while at < len(flat):
             n = flat[at]
             anchors = [(flat[k] - c_at, flat[k + 1] - a_at) for k in range(at + 1, at + 1 + 2 * n, 2)]
             at += 1 + 2 * n
-            x, y = anchors[0]
-            if any(p <= x < q and x - y == d for p, q, d in covered):
+            if all(covered[x] for x, _ in anchors):  # a better chain has led there
                 continue
             runs = align(c, a, anchors)
-            covered += [(p, p + k, p - q) for p, q, k in runs]
+            for p, _, k in runs:
+                covered[p : p + k] = True
             for p, q, r, s, found in passages(runs):
                 row = (first["node"], p + c_at, q + c_at, second["node"], r + a_at, s + a_at, found)
                 for o, v in zip(out, row, strict=True):
