@@ -20,7 +20,7 @@ def _documents(rows: DataFrame) -> DataFrame:
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that pass the quality rules; trusted ones are those that labels marks as good."""
     ratios = quality.fit(docs, q_quality.trusted(spark, sf_dir))
-    return _documents(quality.judge(docs, ratios).where("kept"))
+    return _documents(quality.kept_rows(quality.judge(docs, ratios)))
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -130,3 +130,13 @@ def judge(docs: DataFrame, ratios: list[float], text_col: str = "text", threshol
     rows = rows.withColumn("base_failed", failed)
     rows = rows.withColumn("kept", ~F.col("base_failed") & (F.col("log_ratio") >= threshold))
     return rows.select(*old, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "log_ratio", "kept")
+
+
+def kept_rows(judged: DataFrame) -> DataFrame:
+    """The rows of judge that are kept, without its columns.
+
+    The optimizer would copy the rules into a filter below them, once for each use of a column; it does not move a filter
+    past a number that depends on where a row is.
+    """
+    rows = judged.withColumn("_place", F.monotonically_increasing_id())
+    return rows.where(F.col("kept") & (F.col("_place") >= 0)).drop("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "log_ratio", "kept", "_place")
