@@ -29,7 +29,7 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, St
 SHINGLE, CONTAINMENT = 5, 0.8
 BANDS, ROWS = 10, 2
 #: Words that are scanned at once; longer texts are scanned in runs that overlap.
-RUN = 1 << 17
+RUN = 1 << 16
 _WORD = re.compile(rb"[a-z0-9\x80-\xff]+")
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -110,9 +110,9 @@ class Index:
         #: Words on either side of a hit that its template can reach.
         self.reach = max((2 * len(s) + 2 * SHINGLE for s in self.own), default=0)
 
-    def hits(self, words: np.ndarray) -> set[tuple[int, int]]:
-        """(template, place where it would begin) of all windows that share a band with it."""
-        out: set[tuple[int, int]] = set()
+    def hits(self, words: np.ndarray) -> set[tuple[int, int, int]]:
+        """(template, place where it would begin, place of the window) of all windows that share a band with it."""
+        out: set[tuple[int, int, int]] = set()
         for width, sizes in self.sizes.items():
             s = _shingles(words, width)
             if not len(s):
@@ -125,36 +125,42 @@ class Index:
                         for i in np.flatnonzero(self.maybe[keys >> np.uint64(46)]):
                             for number, at, _ in self.entries.get(int(keys[i]), ()):
                                 if self.widths[number] == width:
-                                    out.add((number, int(i) * step - at))
+                                    out.add((number, int(i) * step - at, int(i) * step))
                 if w >= max(sizes) or minima.shape[1] <= w:
                     break
                 minima = np.minimum(minima[:, :-w], minima[:, w:])
                 w *= 2
         return out
 
-    def scan(self, words: np.ndarray) -> list[tuple[str, int, int, float]]:
-        """(template, first word, number of words, containment) of the matches in the words of a text, in order."""
-        found: dict[int, list[tuple[int, int, float]]] = {}
+    def scan(self, texts: list[np.ndarray]) -> list[list[tuple[str, int, int, float]]]:
+        """For each text (its words): (template, first word, number of words, containment) of the matches, in order.
+
+        Texts are retrieved from together, as one run of words; every hit is verified within its own text.
+        """
+        ends = np.cumsum([len(t) for t in texts])
+        words = np.concatenate(texts) if texts else np.empty(0, np.uint64)
         shingles = {width: _shingles(words, width) for width in self.sizes}
-        for number, at in sorted(self.hits(words)):
+        found: list[dict[int, list[tuple[int, int, float]]]] = [{} for _ in texts]
+        for number, at, place in sorted(self.hits(words)):
             own, width = self.own[number], self.widths[number]
+            text = int(np.searchsorted(ends, place, "right"))
+            begin, end = int(ends[text]) - len(texts[text]), int(ends[text])
             slack = len(own) // 4 + 1
-            low = max(0, at - slack)
-            near = shingles[width][low : max(0, at + len(own) + slack)]
+            low = max(begin, at - slack)
+            near = shingles[width][low : max(low, min(at + len(own) + slack, end - width + 1))]
             held = np.isin(near, own)
-            distinct = np.unique(own)
-            share = len(np.unique(near[held])) / len(distinct)
+            share = len(np.unique(near[held])) / len(np.unique(own))
             if share < CONTAINMENT:
                 continue
             places = np.flatnonzero(held)
-            start, end = low + int(places[0]), low + int(places[-1]) + width
-            matches = found.setdefault(number, [])
-            if matches and start < matches[-1][1]:  # the same one, seen from elsewhere
+            first, last = low - begin + int(places[0]), low - begin + int(places[-1]) + width
+            matches = found[text].setdefault(number, [])
+            if matches and first < matches[-1][1]:  # the same one, seen from elsewhere
                 if share > matches[-1][2]:
-                    matches[-1] = (start, end, share)
+                    matches[-1] = (first, last, share)
                 continue
-            matches.append((start, end, share))
-        return sorted(((self.names[k], a, b - a, share) for k, m in found.items() for a, b, share in m), key=lambda x: (x[1], x[0]))
+            matches.append((first, last, share))
+        return [sorted(((self.names[k], a, b - a, share) for k, m in f.items() for a, b, share in m), key=lambda x: (x[1], x[0])) for f in found]
 
 
 @lru_cache(4)
@@ -162,19 +168,34 @@ def index_of(templates: tuple[tuple[str, str], ...]) -> Index:
     return Index(dict(templates))
 
 
-def scan_text(index: Index, text: str | None) -> list[tuple[str, int, int, float]]:
-    words = _words(text)
-    if len(words) <= RUN:
-        return index.scan(words)
+def scan_long(index: Index, words: np.ndarray) -> list[tuple[str, int, int, float]]:
+    """The matches in a text above RUN words, in runs that overlap by what a template can reach."""
     out: dict[tuple[str, int], tuple[str, int, int, float]] = {}
     for at in range(0, len(words), RUN):
-        for name, start, n, share in index.scan(words[max(0, at - index.reach) : at + RUN + index.reach]):
-            start += max(0, at - index.reach)
-            if at <= start < at + RUN:
-                out[name, start] = (name, start, n, share)
+        begin = max(0, at - index.reach)
+        for name, start, n, share in index.scan([words[begin : at + RUN + index.reach]])[0]:
+            if at <= start + begin < at + RUN:
+                out[name, start + begin] = (name, start + begin, n, share)
     return sorted(out.values(), key=lambda x: (x[1], x[0]))
 
 
+def scan_texts(index: Index, texts: Iterator[str | None]) -> Iterator[list[tuple[str, int, int, float]]]:
+    """The matches in each text; short texts are scanned together."""
+    held: list[np.ndarray] = []
+    size = 0
+    for text in texts:
+        words = _words(text)
+        if held and size + len(words) > RUN:
+            yield from index.scan(held)
+            held, size = [], 0
+        if len(words) > RUN:
+            yield scan_long(index, words)
+            continue
+        held.append(words)
+        size += len(words)
+    yield from index.scan(held)
+
+
 def scan(docs: DataFrame, templates: dict[str, str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, template, start_word, n_words, containment): a row for each match of a template in a text.
 
@@ -186,7 +207,7 @@ def scan(docs: DataFrame, templates: dict[str, str], id_col: str = "doc_id", tex
 
     def matches(texts: pa.Array) -> pa.Array:
         index = index_of(chosen)
-        return pa.array([[dict(zip(("template", "start_word", "n_words", "containment"), m, strict=True)) for m in scan_text(index, t.as_py())] for t in texts], kind)
+        return pa.array([[dict(zip(("template", "start_word", "n_words", "containment"), m, strict=True)) for m in found] for found in scan_texts(index, (t.as_py() for t in texts))], kind)
 
     kind = pa.list_(pa.struct([("template", pa.string()), ("start_word", pa.int32()), ("n_words", pa.int32()), ("containment", pa.float64())]))
     schema = ArrayType(StructType([StructField("template", StringType()), StructField("start_word", IntegerType()), StructField("n_words", IntegerType()), StructField("containment", DoubleType())]))

@@ -38,7 +38,7 @@ def test_exact_copies_are_found_where_they_are(index):
     filler = lambda n: " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(n))
     for name, text in TEXTS.items():
         before = rng.randint(0, 50)
-        found = {m[0]: m for m in index.scan(L._words(f"{filler(before)}\n{text.upper()} {filler(20)}"))}
+        found = {m[0]: m for m in index.scan([L._words(f"{filler(before)}\n{text.upper()} {filler(20)}")])[0]}
         assert found[name][1:] == (before, len(L._words(text)), 1.0)
 
 
@@ -55,7 +55,7 @@ def test_as_brute_force(index):
                 own = own[: rng.randint(1, len(own))]
             words += ["//", *own, *"".join(rng.choices("klmnop ", k=40)).split()]
         text = " ".join(words)
-        assert {m[0] for m in index.scan(L._words(text))} == _brute(text)
+        assert {m[0] for m in index.scan([L._words(text)])[0]} == _brute(text)
 
 
 def test_long_texts_are_scanned_in_runs(index, monkeypatch):
@@ -65,7 +65,10 @@ def test_long_texts_are_scanned_in_runs(index, monkeypatch):
     for at in range(4900, 0, -330):
         words[at:at] = TEXTS["isc"].split()
     text = " ".join(words)
-    assert L.scan_text(index, text) == index.scan(L._words(text)) and len(L.scan_text(index, text)) == 15
+    texts = ["", text, None, TEXTS["isc"], TEXTS["mit-short"], text, "none"]
+    found = list(L.scan_texts(index, texts))
+    assert found == [index.scan([L._words(t)])[0] for t in texts]
+    assert list(map(len, found)) == [0, 15, 0, 1, 1, 15, 0]
 
 
 def test_rows(spark):
@@ -77,4 +80,4 @@ def test_rows(spark):
 
 
 def test_nothing_in_random_text(index):
-    assert index.scan(np.random.default_rng(0).integers(0, 1 << 60, 100_000).astype(np.uint64)) == []
+    assert index.scan([np.random.default_rng(0).integers(0, 1 << 60, 100_000).astype(np.uint64)]) == [[]]
