@@ -4,8 +4,8 @@
    counted where they lie, and each task passes on sums for a fixed number of buckets. The smoothed log-ratio of the
    two classes' shares is a feature's scale.
 2. Weights. The FEATURES n-grams whose occurrence depends most on the class (chi-square over all training rows) stay.
-   A logistic regression with an L2 penalty, whose value for a feature is its scale if the n-gram occurs in the text,
-   is fitted on at most SAMPLE training rows of each class (those of smallest hashed id); its intercept is then set
+   A logistic regression with an L2 penalty, whose value for a feature is its scale times the root of how densely the
+   n-gram occurs in the text (so that what long texts hold by chance weighs little), is fitted on at most SAMPLE training rows of each class (those of smallest hashed id); its intercept is then set
    right for the classes' real shares.
 3. Scores. Every whole text is scored where it lies, in one pass over its bytes.
 
@@ -31,7 +31,9 @@ ORDERS = (3, 4, 5, 6)
 #: Hash buckets of each length.
 BUCKETS = 1 << 18
 #: N-grams that the linear model keeps.
-FEATURES = 512
+FEATURES = 1024
+#: Bytes of text in which one occurrence is density 1; shorter texts count as so long.
+DENSE = 500
 #: Training rows of each class, at most, on which the weights are fitted.
 SAMPLE = 4000
 #: Labelled rows up to which the labels are broadcast; beyond it they are joined by a shuffle.
@@ -99,21 +101,24 @@ class Model:
     weights: np.ndarray
     bias: float
 
-    def present(self, text: str | None) -> np.ndarray:
-        """Numbers of the kept features that occur in a text."""
+    def values(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers, roots of densities) of the kept features that occur in a text."""
         key = self.buckets.tobytes()
         if key not in _PLACES:
             _PLACES.clear()
             _PLACES[key] = np.full(BUCKETS * len(ORDERS), -1, np.int16)
             _PLACES[key][self.buckets] = np.arange(len(self.buckets))
-        found = [np.empty(0, np.int16)]
+        counts, total = np.zeros(len(self.buckets)), 0
         for g in grams(text):
             hit = _PLACES[key][g]
-            found.append(hit[hit >= 0])
-        return np.unique(np.concatenate(found))
+            counts += np.bincount(hit[hit >= 0], minlength=len(counts))
+            total += len(g)
+        found = np.flatnonzero(counts)
+        return found, np.sqrt(counts[found] * DENSE / max(total / len(ORDERS), DENSE))
 
     def score(self, text: str | None) -> float:
-        z = float(self.weights[self.present(text)].sum()) + self.bias
+        found, values = self.values(text)
+        z = float((self.weights[found] * values).sum()) + self.bias
         return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
 
@@ -163,20 +168,30 @@ def train(docs: DataFrame, labels: DataFrame, training: Column) -> Model:
     for side in (True, False):
         part = known.where(F.col("toxic") == side).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
         chosen = part if chosen is None else chosen.union(part)
-    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.arrow_udf(_presence(bare), "array<short>")("text").alias("found"), "toxic").limit(4 * SAMPLE).collect()
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.arrow_udf(_packed_values(bare), "binary")("text").alias("found"), "toxic").limit(4 * SAMPLE).collect()
     x, y = np.zeros((len(found), len(kept))), np.array([r.toxic for r in found], float)
     for i, r in enumerate(found):
-        x[i, r.found] = ratio[r.found]
+        v = np.frombuffer(r.found, _VALUE)
+        x[i, v["number"]] = ratio[v["number"]] * v["value"]
     weights, bias = _fit(x, y)
     bias -= log(max(y.sum(), 0.5) / max(len(y) - y.sum(), 0.5)) - log(n1 / n0)
     return Model(bare.buckets, weights * ratio, bias)
 
 
-def _presence(model: Model):
-    def present(texts: pa.Array) -> pa.Array:
-        return pa.array([model.present(t.as_py()) for t in texts], pa.list_(pa.int16()))
+_VALUE = np.dtype([("number", "<i2"), ("value", "<f4")])
 
-    return present
+
+def _packed_values(model: Model):
+    def packed(texts: pa.Array) -> pa.Array:
+        out = []
+        for t in texts:
+            found, values = model.values(t.as_py())
+            v = np.empty(len(found), _VALUE)
+            v["number"], v["value"] = found, values
+            out.append(v.tobytes())
+        return pa.array(out, pa.binary())
+
+    return packed
 
 
 def scored(model: Model, text: Column) -> Column:
