@@ -107,7 +107,7 @@ def listing(spark: SparkSession, roots: list[str], recursive: bool = True, in_fo
     One list: group_id is 0, and a file below several roots counts once, for the first. in_folder: a group for each root that
     has files. Ids are positions in the order of roots and paths, undecodable files included.
     """
-    found = list_files(spark, roots, recursive)
+    found = list_files(spark, roots, recursive).persist()  # folders are walked once, so both results are of one moment
     if not in_folder:
         found = found.groupBy("path").agg(F.min(F.struct("root_no", "root")).alias("m")).select("m.root_no", "m.root", "path")
     keep = is_image(F.col("path")) if limit_extensions else F.lit(True)
