@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 
 from dupscan.functions.tensors import nibbles, rot90, true_cost, wrapped_cost
 
-#: Images of a tile, and of a part of it that is compared at once.
-TILE, PART = 1024, 64
+#: Images of a tile, and of a part of it that is compared at once; bytes of the tensors of a tile, which for large ones
+#: makes it smaller.
+TILE, PART, TILE_BYTES = 1024, 64, 64 << 20
 #: Quarter turns of the later image that are tried: as in the original semantics, and as documented.
 TURNS = (0, 1, 2)
 ALL_TURNS = (0, 1, 2, 3)
@@ -166,7 +167,8 @@ def _kernel(threshold: float, turns: tuple[int, ...], metric: str, owners: bool,
 def _meetings(images: DataFrame, same_dim: bool) -> DataFrame:
     rows = bucketed(images, same_dim)
     # one row a bucket; what is joined to the images is a count, and adaptive execution splits a hot bucket
-    tiles = rows.groupBy(*_BUCKET).agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
+    size = F.greatest(F.lit(1), F.least(F.lit(TILE), F.expr(f"{TILE_BYTES} div greatest(1, max(octet_length(tensor)))")))
+    tiles = rows.groupBy(*_BUCKET).agg(F.ceil(F.count("*") / size).cast("int").alias("tiles"))
     rows = rows.join(tiles, [*_BUCKET]).withColumn("own", F.pmod(F.xxhash64("file_id"), F.col("tiles")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     keys = [*_BUCKET, "low", "high"]

@@ -112,11 +112,11 @@ def _brute(tensors, sizes, groups, threshold, turns, same_dim):
     return out
 
 
-@pytest.mark.parametrize("tile", [3, 1024])
+@pytest.mark.parametrize("tile", [3, 1024, "bytes"])
 @pytest.mark.parametrize("threshold", [0, 30])
 def test_owners_as_brute_force(spark, monkeypatch, tile, threshold):
-    monkeypatch.setattr(matching, "TILE", tile)
-    rng = np.random.default_rng(tile + threshold)
+    monkeypatch.setattr(matching, *("TILE_BYTES", 500) if tile == "bytes" else ("TILE", tile))
+    rng = np.random.default_rng(threshold)
     base = rng.integers(0, 256, (6, 4, 4, 3)).astype(np.uint8)
     tensors = [np.ascontiguousarray(np.rot90(base[i] + np.uint8(s), k)) for i, s, k in zip(rng.integers(0, 6, 60), rng.choice([0, 0, 1, 3, 16], 60), rng.integers(0, 4, 60), strict=True)]
     sizes = [[(8, 6), (6, 8), (9, 9)][i] for i in rng.integers(0, 3, 60)]
