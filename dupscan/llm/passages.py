@@ -4,7 +4,7 @@
    that agree in SEED + WINDOW - 1 successive words have a seed there in common. A passage of MIN_WORDS words or more whose
    five-word shingles agree to SIMILARITY has such a stretch between its edits.
 2. Join. Every occurrence of a seed is matched with one other, the seed's first (in the document of the smallest key),
-   so a seed with n occurrences makes n - 1 matches. Firsts are found by partial aggregation, and the join is one
+   so a seed with n occurrences makes n - 1 matches (in periodic text: of those that are as long). Firsts are found by partial aggregation, and the join is one
    whose hot keys adaptive execution can split.
 3. Chains. Documents are cut into stretches of CORE words, so that no pair is large; matches of a pair of stretches are
    chained by a Fenwick tree of prefix maxima: a chain's score is its seeds' words less GAP for every word between.
@@ -31,6 +31,8 @@ from dupscan.llm.common import free_shuffles, scratch, word_chunks
 SEED, WINDOW = 10, 11
 #: Words of a passage at least, words of its shingles, and how far those must agree (Jaccard).
 MIN_WORDS, SHINGLE, SIMILARITY = 50, 5, 0.8
+#: Words of the longest period at which text counts as periodic.
+PERIOD = 16
 #: Words of a stretch, and beyond it on either side.
 CORE, MARGIN = 1024, 64
 #: Cost of a word of a gap, in words of seeds.
@@ -63,7 +65,22 @@ def seeds(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         least = np.lib.stride_tricks.sliding_window_view(h, WINDOW)
         at = np.concatenate([least[i : i + (1 << 16)].argmin(1) + np.arange(i, min(i + (1 << 16), len(least))) for i in range(0, len(least), 1 << 16)])
         at = np.unique(at)
-    return h[at], at
+    return _marked(h[at], at, words), at
+
+
+def _marked(keys: np.ndarray, at: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """keys, changed where the MIN_WORDS words from there are periodic.
+
+    A seed within a run of one word (or of a few) has its first wherever such a run is, however short. Marked, it has it in
+    a run that is long enough to be a passage.
+    """
+    if len(np.unique(keys)) == len(keys) or len(words) < MIN_WORDS:
+        return keys
+    periodic = np.zeros(len(at), bool)
+    for q in range(1, PERIOD + 1):
+        odd = np.r_[np.flatnonzero(words[:-q] != words[q:]), len(words) - q]
+        periodic |= odd[np.minimum(np.searchsorted(odd, at), len(odd) - 1)] - at >= MIN_WORDS - q
+    return np.where(periodic, (keys ^ _MULTIPLIER) * _MULTIPLIER, keys)
 
 
 def _seed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

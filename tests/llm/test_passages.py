@@ -107,6 +107,17 @@ def test_hot_passage_makes_a_row_a_copy(spark):
     assert all(r.n_words >= 80 for r in rows)
 
 
+def test_runs_of_few_words(spark):
+    rng = random.Random(6)
+    run = lambda words, n: (words * n)[:n]
+    texts = [_words(rng, 20) + run(w, n) + _words(rng, 20) for w in (["to"], ["la", "le", "lo"]) for n in (30, 45, 60, 90, 75)]
+    for seed in range(3):  # whichever has the smallest key
+        _, rows = _found(spark, [(10 * i + seed, " ".join(t)) for i, t in enumerate(texts)])
+        pairs = [{r.doc_id // 10, r.first_doc_id // 10} for r in rows]
+        assert set().union(*(p for p in pairs if p <= {2, 3, 4})) == {2, 3, 4} and set().union(*(p for p in pairs if p <= {7, 8, 9})) == {7, 8, 9}
+        assert all(p <= {2, 3, 4} or p <= {7, 8, 9} for p in pairs)
+
+
 def test_no_rows(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string")
     assert P.repeated_passages(df).collect() == []
