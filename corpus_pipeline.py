@@ -53,7 +53,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and digests of them and of the bytes they decode to."""
-    coded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), public_tokenizers.path(q_bpe.RANKS), public_tokenizers.PATTERN, decoded_col="decoded")
+    coded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), public_tokenizers.path(q_bpe.RANKS), public_tokenizers.PATTERN, decoded_col="decoded", packed_col="packed")
     return coded.select("doc_id", "lang", "source", "ids", *q_bpe.digest_columns())
 
 

@@ -31,7 +31,7 @@ LEAF_CHARS = 1 << 15
 #: Bytes of a piece that are merged at once.
 LEAF_BYTES = 48
 #: Encodings of pieces that a worker remembers before it forgets them all.
-REMEMBERED = 1 << 18
+REMEMBERED = 1 << 17
 
 
 class _Memory(dict):
@@ -173,7 +173,7 @@ def _lists(packed: list[bytes]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
 
 
-def _slices(batch: pa.RecordBatch, column: str, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def _slices(batch: pa.RecordBatch, column: str, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The rows of a batch in runs of about size bytes of text."""
     lengths = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
     run = np.cumsum(lengths) // size
@@ -182,21 +182,26 @@ def _slices(batch: pa.RecordBatch, column: str, size: int = 8 << 20) -> Iterator
         yield batch.slice(a, b - a)
 
 
-def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str | None = None) -> DataFrame:
+def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str | None = "ids", decoded_col: str | None = None, packed_col: str | None = None) -> DataFrame:
     """df with the token ids of text_col as array<int>; with decoded_col, also the bytes that the ids decode to.
 
+    packed_col: the ids as little-endian unsigned 32-bit integers; ids_col None: no array.
+
     Narrow: no shuffle, and a batch is worked off in runs of bounded size. Null and empty texts have no ids (and decode to
     no bytes). Special tokens are ordinary text. Repeated rows are kept. The new columns replace columns of df of the same name.
     """
-    new = [StructField(ids_col, ArrayType(IntegerType()))] + ([StructField(decoded_col, BinaryType())] if decoded_col else [])
+    new = [StructField(name, kind) for name, kind in ((ids_col, ArrayType(IntegerType())), (packed_col, BinaryType()), (decoded_col, BinaryType())) if name]
     kept = [c for c in df.columns if c not in {f.name for f in new}]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = load(path, pattern)
         for whole in batches:
             for batch in _slices(whole, text_col):
-                ids = _lists([coder.encode_packed(t) for t in batch.column(text_col).to_pylist()])
-                out = [*(batch.column(c) for c in kept), ids]
+                packed = [coder.encode_packed(t) for t in batch.column(text_col).to_pylist()]
+                ids = _lists(packed)
+                out = [*(batch.column(c) for c in kept), *([ids] if ids_col else [])]
+                if packed_col:
+                    out.append(pa.array(packed, pa.binary()))
                 if decoded_col:
                     out.append(_decoded(coder, ids))
                 yield pa.RecordBatch.from_arrays(out, [*kept, *(f.name for f in new)])

@@ -1,10 +1,6 @@
 """Query of the byte-level BPE operator."""
 
-import hashlib
-
-import numpy as np
 import public_tokenizers
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,21 +10,14 @@ from dupscan.llm.common import table
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
-def _digests(ids: pa.Array) -> pa.Array:
-    """sha256 of each list as little-endian unsigned 32-bit integers."""
-    flat, ends = ids.flatten().to_numpy().astype("<u4"), ids.offsets.to_numpy()
-    ends = (ends - ends[0]).astype(np.int64)
-    raw = memoryview(flat.tobytes())
-    return pa.array([hashlib.sha256(raw[4 * a : 4 * b]).hexdigest() for a, b in zip(ends, ends[1:], strict=False)])
-
-
 def digest_columns() -> list[Column]:
-    """n_tokens, ids_sha256 and decoded_sha256 of the columns ids and decoded."""
-    return [F.size("ids").cast("long").alias("n_tokens"), F.arrow_udf(_digests, "string")("ids").alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")]
+    """n_tokens, ids_sha256 and decoded_sha256 of the columns packed and decoded."""
+    n = F.expr("octet_length(packed) div 4").cast("long")
+    return [n.alias("n_tokens"), F.sha2("packed", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")]
 
 
 def digests(docs: DataFrame, *keep: str) -> DataFrame:
-    coded = bpe.encode(docs.select(*keep, "text"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN, decoded_col="decoded")
+    coded = bpe.encode(docs.select(*keep, "text"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN, ids_col=None, decoded_col="decoded", packed_col="packed")
     return coded.select(*keep, *digest_columns())
 
 
