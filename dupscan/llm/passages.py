@@ -11,6 +11,9 @@
 4. Alignment. A chain's seeds grow into runs of equal words, and over small edits into further runs, up to MARGIN words
    beyond the stretch; runs are cut where their five-word shingles agree too little. What is long enough is a passage. As
    it grows beyond its seeds, it is found even if all of its other seeds have their firsts elsewhere.
+5. The rest. A passage has RUN equal words in succession (an edit costs SHINGLE shingles on either side, so there is one for
+   some 45 words at most). Seed occurrences outside all passages found so far are matched again by the runs of RUN words
+   around them: not with a first, but with every document of smaller key that has the run; then steps 3 and 4 as before.
 
 A passage is thus a copy of one in another document, which is never one of a larger key: cutting all copies out leaves
 each passage in the documents that have it first.
@@ -25,12 +28,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dupscan.llm.common import free_shuffles, scratch, word_chunks
+from dupscan.llm.common import drop_scratch, free_shuffles, scratch, word_chunks
 
 #: Words of a seed, and successive seeds of which the least stays.
 SEED, WINDOW = 10, 11
 #: Words of a passage at least, words of its shingles, and how far those must agree (Jaccard).
 MIN_WORDS, SHINGLE, SIMILARITY = 50, 5, 0.8
+#: Equal words in succession that every passage has.
+RUN = 25
 #: Words of the longest period at which text counts as periodic.
 PERIOD = 16
 #: Words of a stretch, and beyond it on either side.
@@ -100,6 +105,43 @@ def _seed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(nodes)), pa.array(np.concatenate(places).astype(np.int32))], ["key", "node", "pos"])
 
 
+def runs_at(words: np.ndarray, at: np.ndarray, open_: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, positions, open) of the runs of RUN words around the seeds at; a run is open if one of its seeds is.
+
+    Of equal runs that overlap (periodic text), the first and the last stay.
+    """
+    last = len(words) - RUN
+    if last < 0 or not len(at):
+        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, bool)
+    around = lambda x: np.unique(np.clip(x[:, None] - np.arange(RUN - SEED + 1), 0, last))
+    start = around(at)
+    own = np.isin(start, around(at[open_]))
+    h = np.zeros(len(start), np.uint64)
+    for j in range(RUN):
+        h = (h ^ words[start + j]) * _MULTIPLIER
+        h ^= h >> np.uint64(29)
+    order = np.lexsort((start, h))
+    h, start, own = h[order], start[order], own[order]
+    new = np.r_[True, (h[1:] != h[:-1]) | (start[1:] - start[:-1] >= RUN)]
+    begins = np.flatnonzero(new)
+    own = np.logical_or.reduceat(own, begins)[np.cumsum(new) - 1]
+    ends = new | np.r_[new[1:], True]
+    return h[ends], start[ends], own[ends]
+
+
+def _run_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, text, at) -> (run, node, pos, open); at has the places of seeds, ~place where they are not open."""
+    for batch in batches:
+        out: list[list] = [[], [], [], []]
+        for node, text, at in zip(*(batch.column(c).to_pylist() for c in ("node", "text", "at")), strict=True):
+            at = np.array(at, np.int64)
+            key, pos, own = runs_at(word_hashes(text), np.where(at < 0, ~at, at), at >= 0)
+            for o, x in zip(out, (key.view(np.int64), np.full(len(key), node, np.int64), pos.astype(np.int32), own), strict=True):
+                o.append(x)
+        if out[0]:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["run", "node", "pos", "open"])
+
+
 def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(node, text) -> (node, seg, words): 32-bit hashes of the words of each stretch and its margins."""
     for batch in batches:
@@ -362,7 +404,22 @@ def find_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     firsts = found.groupBy("key").agg(F.min("node").alias("a_node"), F.max("node").alias("other"), F.expr("min_by(pos, node) filter (where pos >= 0)").alias("a_pos"))
     firsts = scratch(firsts.where("other != a_node").select("key", "a_node", "a_pos"), "firsts")
     pos = F.when(F.col("pos") < 0, F.bitwise_not("pos")).otherwise(F.col("pos"))
-    matches = found.join(firsts, "key").where("node != a_node").select(F.col("node").alias("c_node"), pos.alias("c_pos"), "a_node", "a_pos")
+    shared = scratch(found.join(firsts, "key").select("key", "node", pos.alias("pos"), "a_node", "a_pos"), "shared")
+    drop_scratch(firsts)
+    parts = _verified(docs, rows, shared.where("node != a_node").select(F.col("node").alias("c_node"), F.col("pos").alias("c_pos"), "a_node", "a_pos"))
+    more = _verified(docs, rows, _rest(rows, shared, parts))
+    drop_scratch(shared)
+    merged = parts.union(more).repartition("c_node", "a_node").sortWithinPartitions("c_node", "a_node", "c_start", "a_start").mapInArrow(_merged, _SCHEMA)
+    out = scratch(merged, "passages")
+    free_shuffles(docs)
+    return out
+
+
+_SCHEMA = "c_node bigint, c_start int, c_end int, a_node bigint, a_start int, a_end int, similarity double"
+
+
+def _verified(docs: DataFrame, rows: DataFrame, matches: DataFrame) -> DataFrame:
+    """Passages, stretch by stretch, along the chains of matches (c_node, c_pos, a_node, a_pos) of rows (node, text)."""
     matches = matches.select("c_node", F.expr(f"c_pos div {CORE}").cast("int").alias("c_seg"), "a_node", F.expr(f"a_pos div {CORE}").cast("int").alias("a_seg"), "c_pos", "a_pos")
     links = matches.repartition(*_PAIR).sortWithinPartitions(*_PAIR, "c_pos").mapInArrow(_chained, "c_node bigint, c_seg int, a_node bigint, a_seg int, chains binary")
     links = scratch(links.withColumn("link", F.monotonically_increasing_id()), "links")
@@ -372,12 +429,24 @@ def find_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     sides = one.union(two)
     words = rows.mapInArrow(_stretches, "node bigint, seg int, words binary")
     both = sides.join(words, ["node", "seg"]).repartition("link").sortWithinPartitions("link", "side")
-    schema = "c_node bigint, c_start int, c_end int, a_node bigint, a_start int, a_end int, similarity double"
-    parts = both.mapInArrow(_aligned, schema)
-    merged = parts.repartition("c_node", "a_node").sortWithinPartitions("c_node", "a_node", "c_start", "a_start").mapInArrow(_merged, schema)
-    out = scratch(merged, "passages")
+    parts = scratch(both.mapInArrow(_aligned, _SCHEMA), "parts")
+    drop_scratch(links)
     free_shuffles(docs)
-    return out
+    return parts
+
+
+def _rest(rows: DataFrame, shared: DataFrame, parts: DataFrame) -> DataFrame:
+    """(c_node, c_pos, a_node, a_pos): runs around the seed occurrences (shared) outside all passages (parts), with every smaller node that has them."""
+    spans = parts.groupBy("c_node").agg(F.collect_set(F.struct(F.col("c_start").alias("s"), F.col("c_end").alias("e"))).alias("spans"))
+    inside = F.exists("spans", lambda x: (F.col("pos") >= x["s"]) & (F.col("pos") + SEED <= x["e"]))
+    flagged = shared.join(spans, F.col("node") == F.col("c_node"), "left").select("key", "node", "pos", ((F.col("node") != F.col("a_node")) & ~F.coalesce(inside, F.lit(False))).alias("open"))
+    flagged = scratch(flagged, "flagged")
+    keys = flagged.where("open").select("key").distinct()
+    places = flagged.join(keys, "key").groupBy("node").agg(F.collect_set(F.expr("if(open, pos, ~pos)")).alias("at"))
+    runs = scratch(rows.join(places, "node").select("node", "text", "at").mapInArrow(_run_rows, "run bigint, node bigint, pos int, open boolean"), "runs")
+    drop_scratch(flagged)
+    c = runs.where("open").select("run", F.col("node").alias("c_node"), F.col("pos").alias("c_pos"))
+    return c.join(runs.select("run", F.col("node").alias("a_node"), F.col("pos").alias("a_pos")), "run").where("a_node < c_node").drop("run")
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

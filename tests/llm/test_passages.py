@@ -118,6 +118,29 @@ def test_runs_of_few_words(spark):
         assert all(p <= {2, 3, 4} or p <= {7, 8, 9} for p in pairs)
 
 
+def test_passage_whose_seeds_all_have_firsts_elsewhere(spark):
+    rng = random.Random(8)
+    common = _words(rng, 60)
+    texts = [(i, _words(rng, 30) + (common[:40], common[20:])[i % 2] + _words(rng, 30)) for i in range(60)]
+    texts += [(i, _words(rng, 30) + common + _words(rng, 30)) for i in (100, 101)]
+    _, rows = _found(spark, [(i, " ".join(t)) for i, t in texts])
+    assert {frozenset((r.doc_id, r.first_doc_id)) for r in rows} == {frozenset((100, 101))}
+    assert all(r.n_words >= 60 for r in rows)
+
+
+def test_every_passage_has_a_run():
+    # for e edits of one word in n words, the longest run is shortest if the edits are spread evenly
+    for n in range(P.MIN_WORDS, 1000):
+        for e in range(1, n // 10):
+            size, more = divmod(n - e, e + 1)
+            runs, at = [], 0
+            for k in range(e + 1):
+                runs.append((at, at, size + (k < more)))
+                at += size + (k < more) + 1
+            if P.agreement(runs) >= P.SIMILARITY:
+                assert max(r[2] for r in runs) >= P.RUN
+
+
 def test_no_rows(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string")
     assert P.repeated_passages(df).collect() == []
