@@ -3,8 +3,9 @@
 A text is encoded in halves, recursively, and neighbours are joined by encoding a window around the seam again. It
 happens on two levels:
 
-* pieces (matches of the splitting pattern). The pattern looks behind nowhere and at most one character ahead, so of the
-  left half only the last piece can change, and once a piece of the window begins where a piece of the right half
+* pieces (matches of the splitting pattern). The pattern looks behind nowhere, and what it matches depends on at most SEEN
+  characters behind the match (of 're, 've and 'll, where the seam leaves only ' and a letter). So of the left half only the
+  last piece and those that end less than SEEN characters before the seam can change, and once a piece of the window begins where a piece of the right half
   begins, all later pieces are the same. The window grows to the right until that holds.
 * tokens within a piece. Every adjacent pair of an encoding encodes to itself, and a sequence whose adjacent pairs all do
   is the encoding of its bytes. The window takes in more tokens on either side until its outer pairs pass that test.
@@ -28,6 +29,8 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, S
 
 #: Characters of a text that are split at once.
 LEAF_CHARS = 1 << 15
+#: Characters behind a piece that can decide where it ends.
+SEEN = 3
 #: Bytes of a piece that are merged at once.
 LEAF_BYTES = 48
 #: Encodings of pieces that a worker remembers before it forgets them all.
@@ -131,7 +134,10 @@ class ByteBPE:
             return self.split.findall(text, start, end)
         half = (start + end) // 2
         left, right = self.pieces(text, start, half), self.pieces(text, half, end)
-        head = half - len(left[-1])
+        keep, head = len(left) - 1, half - len(left[-1])
+        while keep and half - head < SEEN:
+            keep -= 1
+            head -= len(left[keep])
         width = 4
         while True:
             begins = set(accumulate(map(len, right[:width]), initial=half))
@@ -145,7 +151,7 @@ class ByteBPE:
                 while place < at[sure]:
                     place += len(right[skip])
                     skip += 1
-                return left[:-1] + window[:sure] + right[skip:]
+                return left[:keep] + window[:sure] + right[skip:]
             width *= 2
 
     def encode_packed(self, text: str | None) -> bytes:

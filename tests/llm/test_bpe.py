@@ -32,6 +32,19 @@ def test_tree_equals_library(reference, monkeypatch, leaf_chars, leaf_bytes):
             assert coder.decode(coder.encode(text)).decode() == text
 
 
+@pytest.mark.parametrize("leaf_chars", [3, 5, 8, 13])
+def test_seams_in_contractions(reference, monkeypatch, leaf_chars):
+    monkeypatch.setattr(bpe, "LEAF_CHARS", leaf_chars)
+    coder, rng = bpe.load(PATH, P.PATTERN), random.Random(leaf_chars)
+    for alphabet in ("'lrev", "we'l ", "'LlvE r", "d's1 \n'm"):
+        for n in (4, 7, 20, 60, 300) * 20:
+            text = "".join(rng.choice(alphabet) for _ in range(n))
+            assert coder.pieces(text) == coder.split.findall(text)
+            assert coder.encode(text) == reference.encode_ordinary(text)
+    text = "we'll go "
+    assert all(coder.pieces("x" * k + text) == coder.split.findall("x" * k + text) for k in range(40))
+
+
 def test_query_and_edge_rows(spark, reference):
     texts = [None, "", " ", "<|endoftext|> x", "a" * 70000, "word " * 9000, "same", "same"]
     df = spark.createDataFrame([(i, t, "clash", 1) for i, t in enumerate(texts)], "doc_id bigint, text string, ids string, decoded int")
