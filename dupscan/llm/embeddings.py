@@ -4,12 +4,10 @@ Unit vectors are quantised to int8 with a scale of their own; the norm of what i
 product and the two norms bound the true cosine from both sides: pairs whose upper bound is under the threshold are
 done, those whose lower bound reaches it are links, and only the others are computed again in double precision.
 
-Which tiles are multiplied: equal vectors are one; the rest fall into buckets by the signs of random projections, in
-several tables. Bits a table grow with the number of vectors, so that buckets hold about BUCKET of them, and the
-tables are as many as it takes to miss a pair right at the threshold with probability MISS (closer pairs far less; up to
-BUCKET vectors there is one bucket, and nothing is missed). A pair counts in the first table in which it shares
-a bucket, so counts of links add up without listing pairs. Buckets above TILE vectors are cut into tiles that meet two
-by two, and each meeting passes on counts and a spanning forest.
+Which tiles are multiplied: equal vectors are one; all others are compared at every size, tile by tile: above TILE vectors
+they are cut into tiles that meet two by two, and each meeting passes on counts and a spanning forest. The number of
+meetings grows with the square of the distinct vectors. plan_tables and the codes of tables serve callers that want
+fewer meetings and accept that some links are missed; near_duplicates does not use more than one table without bits.
 """
 
 from __future__ import annotations
@@ -161,9 +159,9 @@ def _meetings(threshold: float):
     return run
 
 
-def _links_of(distinct: DataFrame, n: int, threshold: float) -> DataFrame:
+def _links_of(distinct: DataFrame, threshold: float) -> DataFrame:
     """(a, b, links): counts of links (b null) and spanning links (a, b) of distinct vectors (node, vector, n)."""
-    bits, tables = plan_tables(n, threshold)
+    bits, tables = 0, 1  # one bucket: every pair meets
     coded = scratch(distinct.select("node", "vector", "n").mapInArrow(_codes(bits, tables), "node bigint, vector array<float>, n bigint, codes array<bigint>".replace("float", distinct.schema["vector"].dataType.elementType.simpleString())), "codes")
     rows = coded.select("*", F.size("vector").alias("dim"), F.posexplode("codes").alias("t", "code"))
     hot = scratch(rows.groupBy("dim", "t", "code").count().where(f"count > {TILE}").select("dim", "t", "code", F.ceil(F.col("count") / TILE).cast("int").alias("tiles")), "hot")
@@ -191,7 +189,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     rows = rows.withColumn("node", F.when(v.isNotNull() & F.coalesce(good, F.lit(False)), F.xxhash64(F.size(v), v)))
     named = scratch(rows.select("vec_id", "node"), "rows")
     distinct = scratch(rows.where("node is not null").groupBy("node", "vector").agg(F.count("*").alias("n"), F.min("vec_id").alias("first")), "vectors")
-    found = scratch(_links_of(distinct, distinct.count(), threshold), "links")
+    found = scratch(_links_of(distinct, threshold), "links")
     counts = found.where("b is null").groupBy("a").agg(F.sum("links").alias("links"))
     parts = scratch(connected_components(found.where("b is not null").select("a", "b")).withColumnRenamed("node", "p"), "parts")
     few = distinct.select("node", "n", "first")

@@ -44,6 +44,20 @@ def test_matches_brute_force(spark, monkeypatch, bucket, tile):
     assert got == brute(rows)
 
 
+def test_no_pair_is_missed_at_the_production_setting(spark):
+    # 1,500 pairs right above the threshold, more distinct vectors than BUCKET
+    rng, dim, m = np.random.default_rng(7), 32, 1500
+    x = rng.standard_normal((m, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = rng.standard_normal((m, dim))
+    y -= (y * x).sum(1, keepdims=True) * x
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    near = 0.9501 * x + np.sqrt(1 - 0.9501**2) * y
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([x, near]).astype(np.float32))]
+    got = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")).collect()
+    assert min(r.n_links for r in got) >= 1
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(2)
     u = embeddings._unit(rng.standard_normal(200 * 24), 24)
