@@ -271,6 +271,20 @@ def _blocks(id_type: pa.DataType):
     return run
 
 
+def _word_logs(lattice: np.ndarray, c: np.ndarray, discount: float, total: int, free: float) -> np.ndarray:
+    """Log-probability of words: their discounted counts and their share of the lattice (its log), added up in log space."""
+    with np.errstate(divide="ignore"):
+        return np.logaddexp(np.log(np.maximum(c - discount, 0) / max(total, 1)), np.log(free) + lattice)
+
+
+def _log_rising_of(log_x: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """_log_rising of exp(log_x), which may be less than the least double."""
+    # x (x + 1) ... (x + n - 1) is x times a rising factorial that begins at x + 1
+    out, more = log_x.copy(), n > 1
+    out[more] += _log_rising(np.exp(log_x[more]) + 1, n[more] - 1)
+    return out
+
+
 def _log_rising(x: np.ndarray, n: np.ndarray) -> np.ndarray:
     """log of x (x + 1) ... (x + n - 1)."""
     out = np.log(x)
@@ -316,7 +330,7 @@ def _assemble(log_all: float, own: float):
                 of = np.repeat(np.arange(len(part)), [len(p) // _PLACE.itemsize for p in packed])
                 c, p = part.column("c").to_numpy(), part.column("p").to_numpy()
                 n, doc = places["n"].astype(np.float64), places["doc"]
-                for k, v in enumerate((n, n * (c > 0)[of], n * np.log10(c + 0.1)[of], _log_rising((own * p)[of], n))):
+                for k, v in enumerate((n, n * (c > 0)[of], n * np.log10(c + 0.1)[of], _log_rising_of((log(own) + p)[of], n))):
                     sums[k] += np.bincount(doc, v, BLOCK_ROWS)
         if block is not None:
             yield done()
@@ -378,9 +392,10 @@ def score_texts(docs: DataFrame, training: Column, path: str, id_col: str = "doc
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words, c = batch.column("word").to_pylist(), batch.column("c").to_numpy()
-            lattice = np.exp(np.maximum(model.score(words), -690.0)) * distinct / (distinct + 1)
-            lattice[[i for i, w in enumerate(words) if not w]] = 1 / (distinct + 1)
-            p = np.maximum(c - discount, 0) / max(total, 1) + free * lattice
+            with np.errstate(divide="ignore"):
+                lattice = model.score(words) + np.log(distinct / (distinct + 1))
+            lattice[[i for i, w in enumerate(words) if not w]] = -log(distinct + 1)
+            p = _word_logs(lattice, c, discount, total, free)
             yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), pa.array(p)], ["word", "c", "p"])
 
     scored = scratch(counts.mapInArrow(score, "word binary, c bigint, p double"), "scored")

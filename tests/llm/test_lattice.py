@@ -58,6 +58,17 @@ def test_log_rising():
     assert np.allclose(lattice._log_rising(x, n), [sum(log(a + i) for i in range(int(b))) for a, b in zip(x, n, strict=True)])
 
 
+def test_long_words_keep_their_probability(model):
+    scores = model.score([b"qz" * 100, b"qz" * 1000, b"qz" * 4000])
+    logs = lattice._word_logs(scores, np.zeros(3), 0.5, 100, 0.2)
+    assert np.allclose(logs, scores + log(0.2)) and logs[1] < -690 and logs[2] < 2 * logs[1]
+    assert np.allclose(lattice._log_rising_of(log(1000) + logs, np.ones(3)), log(1000) + logs)
+    # where doubles hold the probability, both ways agree
+    p, n = np.array([1e-9, 1e-3, 0.4, 30.0]), np.array([1.0, 2, 9, 5000])
+    assert np.allclose(lattice._log_rising_of(np.log(p), n), lattice._log_rising(p, n))
+    assert np.allclose(lattice._word_logs(np.log([0.1, 0.2]), np.array([0.0, 3]), 0.5, 10, 0.2), np.log([0.02, 0.25 + 0.04]))
+
+
 def test_rows(spark, model):
     from pyspark.sql import functions as F
 
