@@ -345,12 +345,10 @@ def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n = flat[at]
             anchors = [(flat[k] - c_at, flat[k + 1] - a_at) for k in range(at + 1, at + 1 + 2 * n, 2)]
             at += 1 + 2 * n
-            if all(covered[x] for x, _ in anchors):  # a better chain has led there
+            if all(covered[x] for x, _ in anchors):  # a better chain has made a passage there
                 continue
-            runs = align(c, a, anchors)
-            for p, _, k in runs:
-                covered[p : p + k] = True
-            for p, q, r, s, found in passages(runs):
+            for p, q, r, s, found in passages(align(c, a, anchors)):
+                covered[p:q] = True
                 row = (first["node"], p + c_at, q + c_at, second["node"], r + a_at, s + a_at, found)
                 for o, v in zip(out, row, strict=True):
                     o.append(v)

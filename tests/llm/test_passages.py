@@ -128,6 +128,19 @@ def test_passage_whose_seeds_all_have_firsts_elsewhere(spark):
     assert all(r.n_words >= 60 for r in rows)
 
 
+def test_chain_without_a_passage_hides_no_other():
+    import pyarrow as pa
+
+    rng = random.Random(9)
+    exact = _words(rng, 100)
+    edited = [w if i % 20 != 19 else w + "x" for i, w in enumerate(exact)]
+    c, a = ((P.word_hashes(" ".join(t)) >> np.uint64(32)).astype("<u4") for t in (exact, edited + _words(rng, 40) + exact))
+    flat = [5, *(x for k in range(5) for x in (20 * k + 2, 20 * k + 2)), 1, 25, 165]
+    rows = [{"link": 0, "side": 0, "node": 2, "seg": 0, "words": c.tobytes(), "chains": np.array(flat, np.int32).tobytes()}, {"link": 0, "side": 1, "node": 1, "seg": 0, "words": a.tobytes(), "chains": None}]
+    found = list(P._aligned(iter([pa.RecordBatch.from_pylist(rows, pa.schema({"link": pa.int64(), "side": pa.int32(), "node": pa.int64(), "seg": pa.int32(), "words": pa.binary(), "chains": pa.binary()}))])))
+    assert [tuple(r.values())[1:6] for b in found for r in b.to_pylist()] == [(0, 100, 1, 140, 240)]
+
+
 def test_every_passage_has_a_run():
     # for e edits of one word in n words, the longest run is shortest if the edits are spread evenly
     for n in range(P.MIN_WORDS, 1000):
