@@ -11,11 +11,17 @@
 4. Alignment. A chain's seeds grow into runs of equal words, and over small edits into further runs, up to MARGIN words
    beyond the stretch; runs are cut where their five-word shingles agree too little. What is long enough is a passage. As
    it grows beyond its seeds, it is found even if all of its other seeds have their firsts elsewhere.
-5. The rest. A passage has RUN equal words in succession (an edit costs SHINGLE shingles on either side, so there is one for
-   some 45 words at most). Seed occurrences outside all passages found so far are matched again by the runs of RUN words
-   around them: not with a first, but with every document of smaller key that has the run; then steps 3 and 4 as before.
+5. The rest. A seed's first may be a document that has the seed but not the passage. Around seed occurrences outside all
+   passages found so far, documents are matched again by longer keys, each with the first document that has the key: all
+   windows of MIN_WORDS words, whose first is sure to have a passage, and pairs of seeds NEAR to FAR words apart, which may
+   lie on both sides of an edit. Then steps 3 and 4 as before.
 
-A passage is thus a copy of one in another document, which is never one of a larger key: cutting all copies out leaves
+So of a stretch of MIN_WORDS or more successive words that documents share, all but the first have passages that cover it, but for at
+most SEED words at either end: where all of its seeds lie in passages it is not matched again, and seeds leave no more than
+that uncovered; else its windows meet their firsts. Edited passages are found if one of their seeds, windows or pairs has
+a first that has the passage.
+
+A passage is a copy of one in another document, which is never one of a larger key: cutting all copies out leaves
 each passage in the documents that have it first.
 """
 
@@ -34,8 +40,8 @@ from dupscan.llm.common import drop_scratch, free_shuffles, scratch, word_chunks
 SEED, WINDOW = 10, 11
 #: Words of a passage at least, words of its shingles, and how far those must agree (Jaccard).
 MIN_WORDS, SHINGLE, SIMILARITY = 50, 5, 0.8
-#: Equal words in succession that every passage has.
-RUN = 25
+#: Words from one seed of a pair to the other: any 50 successive words have seeds NEAR words apart.
+NEAR, FAR = 20, 64
 #: Words of the longest period at which text counts as periodic.
 PERIOD = 16
 #: Words of a stretch, and beyond it on either side.
@@ -105,41 +111,93 @@ def _seed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(nodes)), pa.array(np.concatenate(places).astype(np.int32))], ["key", "node", "pos"])
 
 
-def runs_at(words: np.ndarray, at: np.ndarray, open_: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(keys, positions, open) of the runs of RUN words around the seeds at; a run is open if one of its seeds is.
+def long_keys(words: np.ndarray, keys: np.ndarray, at: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, positions, spans, open) of the windows of MIN_WORDS words and the pairs of seeds of a text.
 
-    Of equal runs that overlap (periodic text), the first and the last stay.
+    keys, at (ascending) and state are of its seeds that other texts have too; state is 0 for those whose occurrences all lie in
+    passages already, OPEN where this one doesn't, else in between. Only what holds a seed above 0 has a key. A span leads to the
+    last seed's place. Of equal windows that overlap (periodic text), the first and the last stay.
     """
-    last = len(words) - RUN
-    if last < 0 or not len(at):
-        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, bool)
-    around = lambda x: np.unique(np.clip(x[:, None] - np.arange(RUN - SEED + 1), 0, last))
-    start = around(at)
-    own = np.isin(start, around(at[open_]))
-    h = np.zeros(len(start), np.uint64)
-    for j in range(RUN):
-        h = (h ^ words[start + j]) * _MULTIPLIER
+    low, high = np.searchsorted(at, at + NEAR), np.searchsorted(at, at + FAR, "right")
+    i = np.repeat(np.arange(len(at)), high - low)
+    j = np.arange(len(i)) - np.repeat(np.cumsum(high - low) - (high - low), high - low) + np.repeat(low, high - low)
+    some = np.maximum(state[i], state[j]) > 0
+    i, j = i[some], j[some]
+    h = (keys[i] ^ np.uint64(SEED)) * _MULTIPLIER
+    h ^= h >> np.uint64(29)
+    pairs = (h ^ keys[j]) * _MULTIPLIER, at[i], at[j] - at[i], np.maximum(state[i], state[j]) == OPEN
+    last = len(words) - MIN_WORDS
+    if last < 0:
+        return pairs
+    # a window has seeds at most WINDOW words apart, the outer ones at most WINDOW - 1 from where a seed can begin and end
+    runs = np.split(np.arange(len(at)), np.flatnonzero(np.diff(at) > WINDOW) + 1)
+    reach = MIN_WORDS - SEED
+    shared, near, open_ = (np.zeros(last + 2, np.int64) for _ in range(3))
+
+    def add(to: np.ndarray, begin: np.ndarray, end: np.ndarray) -> None:
+        begin, end = np.clip(begin, 0, last + 1), np.clip(end + 1, 0, last + 1)
+        np.add.at(to, begin[begin < end], 1)
+        np.add.at(to, end[begin < end], -1)
+
+    add(shared, np.array([at[r[0]] for r in runs]) - (WINDOW - 1), np.array([at[r[-1]] for r in runs]) - reach + WINDOW - 1)
+    for to, least in ((near, 1), (open_, OPEN)):
+        add(to, at[state >= least] - reach, at[state >= least])
+    start = np.flatnonzero((np.cumsum(shared)[:-1] > 0) & (np.cumsum(near)[:-1] > 0))
+    if not len(start):
+        return pairs
+    own = np.cumsum(open_)[start] > 0
+    h = np.full(len(start), MIN_WORDS, np.uint64)
+    for k in range(MIN_WORDS):
+        h = (h ^ words[start + k]) * _MULTIPLIER
         h ^= h >> np.uint64(29)
     order = np.lexsort((start, h))
     h, start, own = h[order], start[order], own[order]
-    new = np.r_[True, (h[1:] != h[:-1]) | (start[1:] - start[:-1] >= RUN)]
+    new = np.r_[True, (h[1:] != h[:-1]) | (start[1:] - start[:-1] >= MIN_WORDS)]
     begins = np.flatnonzero(new)
     own = np.logical_or.reduceat(own, begins)[np.cumsum(new) - 1]
     ends = new | np.r_[new[1:], True]
-    return h[ends], start[ends], own[ends]
-
-
-def _run_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, text, at) -> (run, node, pos, open); at has the places of seeds, ~place where they are not open."""
+    windows = h[ends], start[ends], np.full(int(ends.sum()), reach), own[ends]
+    return tuple(np.concatenate(x) for x in zip(pairs, windows, strict=True))
+
+
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shared seeds (node, key, pos, state), sorted by node and pos -> (node, seeds), for texts that have a pair of seeds with a key."""
+    nodes, packed = [], []
+    for group in _groups(batches, ("node",)):
+        row = np.empty(len(group), _SHARED)
+        for k in ("key", "pos", "state"):
+            row[k] = group.column(k).to_numpy()
+        at, state = row["pos"].astype(np.int64), row["state"]
+        low, high = np.searchsorted(at, at + NEAR), np.searchsorted(at, at + FAR, "right")
+        above = np.r_[0, np.cumsum(state > 0)]
+        if ((high > low) & ((state > 0) | (above[high] > above[low]))).any():
+            nodes.append(group.column("node")[0].as_py())
+            packed.append(row.tobytes())
+        if len(nodes) == 1024:
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(packed, pa.binary())], ["node", "seeds"])
+            nodes, packed = [], []
+    if nodes:
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(packed, pa.binary())], ["node", "seeds"])
+
+
+_SHARED = np.dtype([("key", "<i8"), ("pos", "<i4"), ("state", "<i1")])
+#: State of a seed occurrence outside all passages.
+OPEN = 2
+
+
+def _long_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, text, seeds) -> (key, node, pos, span, open); pos is ~pos where the key has occurred in the text before."""
+    names = ["key", "node", "pos", "span", "open"]
     for batch in batches:
-        out: list[list] = [[], [], [], []]
-        for node, text, at in zip(*(batch.column(c).to_pylist() for c in ("node", "text", "at")), strict=True):
-            at = np.array(at, np.int64)
-            key, pos, own = runs_at(word_hashes(text), np.where(at < 0, ~at, at), at >= 0)
-            for o, x in zip(out, (key.view(np.int64), np.full(len(key), node, np.int64), pos.astype(np.int32), own), strict=True):
-                o.append(x)
-        if out[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["run", "node", "pos", "open"])
+        for node, text, packed in zip(*(batch.column(c).to_pylist() for c in ("node", "text", "seeds")), strict=True):
+            row = np.frombuffer(packed, _SHARED)
+            key, pos, span, own = long_keys(word_hashes(text), row["key"].astype(np.int64).view(np.uint64), row["pos"].astype(np.int64), row["state"])
+            order = np.lexsort((pos, key))
+            key, pos, span, own = key[order], pos[order], span[order], own[order]
+            pos = np.where(np.r_[True, key[1:] != key[:-1]][: len(key)], pos, ~pos)
+            for a in range(0, len(key), 1 << 16):
+                x = slice(a, a + (1 << 16))
+                yield pa.RecordBatch.from_arrays([pa.array(key[x].view(np.int64)), pa.array(np.full(len(key[x]), node, np.int64)), pa.array(pos[x].astype(np.int32)), pa.array(span[x].astype(np.int32)), pa.array(own[x])], names)
 
 
 def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,6 +353,13 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterato
         yield pa.Table.from_batches(rest)
 
 
+def _thinned(c: list[int], a: list[int]) -> tuple[list[int], list[int]]:
+    """Matches (c ascending) without those that overlap the last one left of their diagonal, which lead to the same run."""
+    last: dict[int, int] = {}
+    left = [(x, y) for x, y in zip(c, a, strict=True) if x - last.get(x - y, -SEED) >= SEED and not last.update({x - y: x})]
+    return [x for x, _ in left], [y for _, y in left]
+
+
 _PAIR = ("c_node", "c_seg", "a_node", "a_seg")
 
 
@@ -310,7 +375,7 @@ def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return made
 
     for group in _groups(batches, _PAIR):
-        c, a = group.column("c_pos").to_pylist(), group.column("a_pos").to_pylist()
+        c, a = _thinned(group.column("c_pos").to_pylist(), group.column("a_pos").to_pylist())
         flat: list[int] = []
         for chain in chains(c, a):
             flat.append(len(chain))
@@ -345,7 +410,7 @@ def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n = flat[at]
             anchors = [(flat[k] - c_at, flat[k + 1] - a_at) for k in range(at + 1, at + 1 + 2 * n, 2)]
             at += 1 + 2 * n
-            if all(covered[x] for x, _ in anchors):  # a better chain has made a passage there
+            if all(covered[x : x + SEED].all() for x, _ in anchors):  # a better chain has made a passage there
                 continue
             for p, q, r, s, found in passages(align(c, a, anchors)):
                 covered[p:q] = True
@@ -364,17 +429,20 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     out: list[list] = [[] for _ in _PASSAGE]
     for group in _groups(batches, ("c_node", "a_node")):
         open_: list[list] = []
+        done: list[list] = []
         for row in zip(*(group.column(k).to_pylist() for k in _PASSAGE), strict=True):
             _, p, q, _, r, s, found = row
-            for x in reversed(open_[-8:]):
-                if p <= x[2] and r <= x[5] and x[4] <= s and abs((p - r) - (x[1] - x[4])) <= 4 * EDIT:
+            done += [x for x in open_ if x[2] < p]  # all later parts begin behind these
+            open_ = [x for x in open_ if x[2] >= p]
+            for x in reversed(open_):
+                if r <= x[5] and x[4] <= s and abs((p - r) - (x[1] - x[4])) <= 4 * EDIT:
                     weight, more = x[2] - x[1], max(0, q - x[2])
                     x[6] = (x[6] * weight + found * more) / (weight + more)
                     x[2], x[4], x[5] = max(x[2], q), min(x[4], r), max(x[5], s)
                     break
             else:
                 open_.append(list(row))
-        for x in open_:
+        for x in sorted(done + open_):
             for o, v in zip(out, x, strict=True):
                 o.append(v)
         if len(out[0]) >= 4096:
@@ -398,21 +466,38 @@ def find_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     are none. Other columns of docs are not read. An empty table gives an empty result.
     """
     rows = docs.select(node_key(id_col, text_col).alias("node"), F.col(text_col).cast("string").alias("text"))
-    found = rows.mapInArrow(_seed_rows, "key bigint, node bigint, pos int")
-    firsts = found.groupBy("key").agg(F.min("node").alias("a_node"), F.max("node").alias("other"), F.expr("min_by(pos, node) filter (where pos >= 0)").alias("a_pos"))
-    firsts = scratch(firsts.where("other != a_node").select("key", "a_node", "a_pos"), "firsts")
-    pos = F.when(F.col("pos") < 0, F.bitwise_not("pos")).otherwise(F.col("pos"))
-    shared = scratch(found.join(firsts, "key").select("key", "node", pos.alias("pos"), "a_node", "a_pos"), "shared")
-    drop_scratch(firsts)
+    found = scratch(rows.mapInArrow(_seed_rows, "key bigint, node bigint, pos int"), "seeds")
+    firsts = scratch(_firsts(found, F.col("pos")), "firsts")
+    free_shuffles(docs)
+    shared = scratch(found.join(firsts, "key").select("key", "node", _place("pos").alias("pos"), "a_node", "a_pos"), "shared")
+    for x in (found, firsts):
+        drop_scratch(x)
+    free_shuffles(docs)
     parts = _verified(docs, rows, shared.where("node != a_node").select(F.col("node").alias("c_node"), F.col("pos").alias("c_pos"), "a_node", "a_pos"))
-    more = _verified(docs, rows, _rest(rows, shared, parts))
+    texts = _open_texts(rows, shared, parts)
     drop_scratch(shared)
+    matches = _long_matches(texts)
+    more = _verified(docs, texts.select("node", "text"), matches)
+    for x in (texts, matches):
+        drop_scratch(x)
     merged = parts.union(more).repartition("c_node", "a_node").sortWithinPartitions("c_node", "a_node", "c_start", "a_start").mapInArrow(_merged, _SCHEMA)
     out = scratch(merged, "passages")
+    for x in (parts, more):
+        drop_scratch(x)
     free_shuffles(docs)
     return out
 
 
+def _place(pos: str) -> Column:
+    return F.when(F.col(pos) < 0, F.bitwise_not(pos)).otherwise(F.col(pos))
+
+
+def _firsts(places: DataFrame, what: Column) -> DataFrame:
+    """(key, a_node, a_pos) of the keys that more than one node has: the smallest node, and what is at the key's first place in it."""
+    met = places.groupBy("key").agg(F.min("node").alias("a_node"), F.max("node").alias("other"), F.min_by(F.when(F.col("pos") >= 0, what), F.when(F.col("pos") >= 0, F.col("node"))).alias("a_pos"))
+    return met.where("other != a_node").select("key", "a_node", "a_pos")
+
+
 _SCHEMA = "c_node bigint, c_start int, c_end int, a_node bigint, a_start int, a_end int, similarity double"
 
 
@@ -433,18 +518,36 @@ def _verified(docs: DataFrame, rows: DataFrame, matches: DataFrame) -> DataFrame
     return parts
 
 
-def _rest(rows: DataFrame, shared: DataFrame, parts: DataFrame) -> DataFrame:
-    """(c_node, c_pos, a_node, a_pos): runs around the seed occurrences (shared) outside all passages (parts), with every smaller node that has them."""
+def _open_texts(rows: DataFrame, shared: DataFrame, parts: DataFrame) -> DataFrame:
+    """(node, text, seeds) of the texts (rows) whose shared seeds have long keys to be matched again; parts: the passages so far."""
     spans = parts.groupBy("c_node").agg(F.collect_set(F.struct(F.col("c_start").alias("s"), F.col("c_end").alias("e"))).alias("spans"))
     inside = F.exists("spans", lambda x: (F.col("pos") >= x["s"]) & (F.col("pos") + SEED <= x["e"]))
     flagged = shared.join(spans, F.col("node") == F.col("c_node"), "left").select("key", "node", "pos", ((F.col("node") != F.col("a_node")) & ~F.coalesce(inside, F.lit(False))).alias("open"))
     flagged = scratch(flagged, "flagged")
-    keys = flagged.where("open").select("key").distinct()
-    places = flagged.join(keys, "key").groupBy("node").agg(F.collect_set(F.expr("if(open, pos, ~pos)")).alias("at"))
-    runs = scratch(rows.join(places, "node").select("node", "text", "at").mapInArrow(_run_rows, "run bigint, node bigint, pos int, open boolean"), "runs")
-    drop_scratch(flagged)
-    c = runs.where("open").select("run", F.col("node").alias("c_node"), F.col("pos").alias("c_pos"))
-    return c.join(runs.select("run", F.col("node").alias("a_node"), F.col("pos").alias("a_pos")), "run").where("a_node < c_node").drop("run")
+    keys = scratch(flagged.where("open").select(F.col("key").alias("k")).distinct(), "keys")
+    state = F.when(F.col("open"), OPEN).when(F.col("k").isNotNull(), 1).otherwise(0).cast("tinyint")
+    some = flagged.join(keys, F.col("key") == F.col("k"), "left").select("node", "key", "pos", state.alias("state"))
+    found = scratch(some.repartition("node").sortWithinPartitions("node", "pos").mapInArrow(_candidates, "node bigint, seeds binary"), "candidates")
+    for x in (flagged, keys):
+        drop_scratch(x)
+    free_shuffles(rows)
+    out = scratch(rows.join(found, "node").select("node", "text", "seeds"), "open")
+    drop_scratch(found)
+    free_shuffles(rows)
+    return out
+
+
+def _long_matches(texts: DataFrame) -> DataFrame:
+    """(c_node, c_pos, a_node, a_pos): both ends of the long keys of texts, each with the first node that has the key."""
+    keys = scratch(texts.mapInArrow(_long_rows, "key bigint, node bigint, pos int, span int, open boolean"), "long")
+    firsts = scratch(_firsts(keys, F.struct("pos", "span")), "long-firsts")
+    met = keys.where("open").join(firsts, "key").where("node != a_node")
+    ends = lambda x, pos, span: F.array(F.struct(x.alias("c"), pos.alias("a")), F.struct((x + F.col("span")).alias("c"), (pos + span).alias("a")))
+    met = met.select("node", "a_node", F.explode(ends(_place("pos"), F.col("a_pos.pos"), F.col("a_pos.span"))).alias("end"))
+    out = scratch(met.select(F.col("node").alias("c_node"), F.col("end.c").alias("c_pos"), "a_node", F.col("end.a").alias("a_pos")).distinct(), "matches")
+    for x in (keys, firsts):
+        drop_scratch(x)
+    return out
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -141,17 +141,97 @@ def test_chain_without_a_passage_hides_no_other():
     assert [tuple(r.values())[1:6] for b in found for r in b.to_pylist()] == [(0, 100, 1, 140, 240)]
 
 
-def test_every_passage_has_a_run():
-    # for e edits of one word in n words, the longest run is shortest if the edits are spread evenly
-    for n in range(P.MIN_WORDS, 1000):
-        for e in range(1, n // 10):
-            size, more = divmod(n - e, e + 1)
-            runs, at = [], 0
-            for k in range(e + 1):
-                runs.append((at, at, size + (k < more)))
-                at += size + (k < more) + 1
-            if P.agreement(runs) >= P.SIMILARITY:
-                assert max(r[2] for r in runs) >= P.RUN
+def test_fifty_words_have_seeds_far_enough_apart():
+    rng = random.Random(10)
+    for n in (50, 51, 70):
+        for _ in range(50):
+            _, at = P.seeds(P.word_hashes(" ".join(_words(rng, n))))
+            assert at[0] < P.WINDOW and at[-1] >= n - P.SEED - P.WINDOW + 1 and at[-1] - at[0] >= P.NEAR and (np.diff(at) <= P.WINDOW).all()
+
+
+def test_long_keys_are_all_windows():
+    rng = random.Random(11)
+    text = _words(rng, 300)
+    words = P.word_hashes(" ".join(text))
+    keys, at = P.seeds(words)
+    got = P.long_keys(words, keys, at, np.full(len(at), P.OPEN))
+    windows = {int(p): bool(o) for p, s, o in zip(got[1], got[2], got[3], strict=True) if s == P.MIN_WORDS - P.SEED and o}
+    assert set(range(300 - P.MIN_WORDS + 1)) <= set(windows)
+    only = np.where(np.arange(len(at)) == len(at) // 2, 1, 0)
+    some = P.long_keys(words, keys, at, only)
+    assert 0 < len(some[0]) < len(got[0]) and not some[3].any() and not len(P.long_keys(words, keys, at, only * 0)[0])
+    # keys depend on the words alone
+    more = P.word_hashes(" ".join(_words(rng, 31) + text[40:150]))
+    k2, a2 = P.seeds(more)
+    assert len(set(got[0].tolist()) & set(P.long_keys(more, k2, a2, np.full(len(a2), 1))[0].tolist())) >= 110 - P.MIN_WORDS + 1
+
+
+def _uncovered(texts, found, nodes):
+    """Words of windows that a document of smaller key has too, but for SEED words at either end, outside all passages."""
+    windows, out = {}, []
+    for i, t in texts.items():
+        for k in range(len(t) - P.MIN_WORDS + 1):
+            windows.setdefault(" ".join(t[k : k + P.MIN_WORDS]), []).append((nodes[i], i, k))
+    spans = {}
+    for r in found:
+        spans.setdefault(r.c_node, set()).update(range(r.c_start, r.c_end))
+    for holders in windows.values():
+        for node, i, k in holders:
+            if node > min(holders)[0]:
+                miss = [w for w in range(k + P.SEED, k + P.MIN_WORDS - P.SEED) if w not in spans.get(node, ())]
+                out += [(i, w) for w in miss if w + 1 in miss]
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_shared_windows_by_brute_force(spark, seed):
+    rng = random.Random(20 + seed)
+    lines, blocks = [_words(rng, rng.randint(8, 49)) for _ in range(12)], [_words(rng, rng.randint(50, 130)) for _ in range(12)]
+    texts = {}
+    for i in range(150):
+        parts = []
+        for _ in range(rng.randint(1, 6)):
+            kind = rng.random()
+            part = list(rng.choice(lines)) if kind < 0.45 else list(rng.choice(blocks)) if kind < 0.65 else _words(rng, rng.randint(1, 60))
+            if kind < 0.65 and rng.random() < 0.4:
+                part = part[rng.randrange(len(part)) :]
+            parts += part
+        texts[i] = parts
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id bigint, text string").repartition(5)
+    nodes = {r.doc_id: r.node for r in df.select("doc_id", P.node_key("doc_id", "text").alias("node")).collect()}
+    found = P.find_passages(df).collect()
+    by = {n: [w.encode() for w in texts[i]] for i, n in nodes.items()}
+    for r in found:
+        assert r.a_node < r.c_node and min(r.c_end - r.c_start, r.a_end - r.a_start) >= P.MIN_WORDS
+        shingles = [{tuple(by[n][x : x + 5]) for x in range(s, e - 4)} for n, s, e in ((r.c_node, r.c_start, r.c_end), (r.a_node, r.a_start, r.a_end))]
+        assert len(shingles[0] & shingles[1]) / len(shingles[0] | shingles[1]) >= 0.75
+    assert _uncovered(texts, found, nodes) == []
+
+
+def test_links_grow_with_the_holders_of_a_run(spark):
+    rng = random.Random(12)
+    run = _words(rng, 40)
+    _, rows = _found(spark, [(i, " ".join(_words(rng, 20) + run + _words(rng, 20))) for i in range(120)])
+    assert rows == []
+
+
+def test_edited_passage_whose_seeds_have_firsts_elsewhere(spark):
+    rng = random.Random(13)
+    left, right = _words(rng, 45), _words(rng, 45)
+    texts = [(i, " ".join(_words(rng, 30) + (left, right)[i % 2] + _words(rng, 30))) for i in range(60)]
+    texts += [(100, " ".join(_words(rng, 30) + left + ["one"] + right + _words(rng, 30))), (101, " ".join(_words(rng, 30) + left + ["other"] + right + _words(rng, 30)))]
+    _, rows = _found(spark, texts)
+    assert {frozenset((r.doc_id, r.first_doc_id)) for r in rows} == {frozenset((100, 101))}
+
+
+def test_merging_looks_at_all_open_parts():
+    import pyarrow as pa
+
+    rows = [(2, 0, 400, 1, 0, 400, 1.0)] + [(2, 10 + k, 70 + k, 1, 1000 + 100 * k, 1060 + 100 * k, 1.0) for k in range(20)] + [(2, 350, 500, 1, 350, 500, 1.0)]
+    rows.sort(key=lambda r: r[1])
+    batch = pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), P._PASSAGE_TYPES, strict=True)], list(P._PASSAGE))
+    out = [tuple(r.values()) for b in P._merged(iter([batch])) for r in b.to_pylist()]
+    assert (2, 0, 500, 1, 0, 500, 1.0) in out and len(out) == 21
 
 
 def test_no_rows(spark):
