@@ -1,29 +1,29 @@
 """Language-model scores by the likelihood of the subword lattice.
 
-A word is a path through the lattice of its segmentations: a first piece (of those that begin with a space), inner
-pieces, and a stop. Its lattice probability is the sum over all segmentations of the product of their pieces'
-probabilities, by a forward recursion in log space. Both distributions of pieces add up to 1, so the words'
-probabilities do too; every byte is a piece, so there are no unknown words. One more arc leads across a whole word that
-training has: its count less a discount, whose total is what the lattice shares out. The end is a word of its own.
+A text is a path through the lattice of its segmentations: for each word a first piece (of those that begin with a space),
+inner pieces and a stop, then one end. Its probability is the sum over all segmentations of the product of their pieces'
+probabilities, by a forward recursion in log space. First pieces and end add up to 1, inner pieces and stop too, so texts do
+as well; every byte is a piece, so there are no unknown words. No piece goes over white space, so the sum over a text's
+segmentations is the product of the sums over its words', and each distinct word is worked off once.
 
-A document's probability is the marginal over the document's own distribution of words, which is Dirichlet around that
-with weight OWN: P = prod over words [rising factorial of OWN * p(word), tf] / [rising factorial of OWN, n]. It adds up to
-1 over sequences of n words, and makes a word that has occurred likelier to occur again.
+The pieces are those of an existing vocabulary, whose scores (its ranks, read as a Zipf law) are the start and, with the
+weight of PRIOR words, the prior; they are carried on to the training rows by ROUNDS steps of expectation maximisation over
+their words, each as often as it occurs. No segmentation is trained.
 
-The pieces are those of an existing vocabulary, whose scores (its ranks, read as a Zipf law) are the start and the
-prior; probabilities are then fitted by ROUNDS steps of expectation maximisation over all distinct words of training,
-each once, as the lattice is there for words that counts don't foresee. No segmentation is trained.
+A second score lets one more arc lead across each whole word of training: the word's count less a discount, whose total
+is what the lattice shares out.
 
 Texts are worked off in blocks of BLOCK_BYTES. A block passes on one row for each of its distinct words, with the
 places where it occurs, so a frequent word makes one row a block; the rows meet the words' counts and probabilities in
-a join, and each block's rows come together again, in a task that holds one block at a time.
+a join, and each block's rows come together again, in a task that holds one block at a time. Ends, which all texts have, are in
+no join.
 """
 
 from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
-from math import exp, inf, log, log10
+from math import exp, inf, log
 
 import numpy as np
 import pyarrow as pa
@@ -35,16 +35,12 @@ from dupscan.llm.common import drop_scratch, free_shuffles, scratch, unmeasured_
 
 #: Bytes of text of a block, about, and its documents at most (a place has two bytes for them).
 BLOCK_BYTES, BLOCK_ROWS = 32 << 20, 1 << 16
-#: Bytes of the longest piece that is used.
-LONGEST = 16
 #: Steps of expectation maximisation, and the weight of the vocabulary's own scores in words.
 ROUNDS, PRIOR = 2, 500.0
-#: Words that the corpus' distribution weighs in a document's own.
-OWN = 1000.0
-#: Cells (words x bytes) of a lattice that are worked off at once; longer words go one by one.
-CELLS, LONG_WORD = 1 << 19, 2048
+#: Cells (words x bytes) of a lattice that are worked off at once; longer words go one by one, CHUNK bytes at once.
+CELLS, LONG_WORD, CHUNK = 1 << 19, 2048, 1 << 15
 _MULTIPLIER, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-_PLACE = np.dtype([("doc", "<u2"), ("n", "<u4")])
+_PLACE, MOST = np.dtype([("doc", "<u2"), ("n", "<u2")]), (1 << 16) - 1
 
 
 class Pieces:
@@ -58,6 +54,8 @@ class Pieces:
         self.keys = keys[self.order]
         self.maybe = np.zeros(1 << 21, bool)
         self.maybe[self.keys >> np.uint64(43)] = True
+        #: Bytes of the longest piece.
+        self.longest = max(map(len, bodies))
 
     @staticmethod
     def _key(body: bytes) -> int:
@@ -75,7 +73,7 @@ class Pieces:
         width = len(words)
         found: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(width)]
         b, h = words.astype(np.uint64) + np.uint64(1), np.zeros(words.shape, np.uint64)
-        for m in range(1, min(LONGEST, width) + 1):
+        for m in range(1, min(self.longest, width) + 1):
             h = (h[: width - m + 1] ^ b[m - 1 :]) * _MULTIPLIER
             h ^= h >> np.uint64(29)
             key = h * _MIX
@@ -90,29 +88,41 @@ class Pieces:
         return found
 
 
+    def hits(self, word: bytes, begin: int, end: int) -> list[list[tuple[int, int]]]:
+        """For each i from begin to end: (end, number) of the pieces that begin at i of a word."""
+        stretch = np.frombuffer(word[begin : end + self.longest], np.uint8)
+        b, h = stretch.astype(np.uint64) + np.uint64(1), np.zeros(len(stretch), np.uint64)
+        out: list[list[tuple[int, int]]] = [[] for _ in range(end - begin)]
+        for m in range(1, min(self.longest, len(stretch)) + 1):
+            h = (h[: len(stretch) - m + 1] ^ b[m - 1 :]) * _MULTIPLIER
+            h ^= h >> np.uint64(29)
+            key = h[: end - begin] * _MIX
+            place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            for i in np.flatnonzero(self.keys[place] == key).tolist():
+                out[i].append((begin + i + m, int(self.order[place[i]])))
+        return out
+
+
 def load_pieces(path: str) -> tuple[Pieces, np.ndarray, np.ndarray]:
     """Pieces of a rank file, and the log-probabilities that its ranks stand for: (inner, first), -inf where not allowed.
 
-    Pieces with capitals A-Z or with white space but for one leading space are never used. The stop, with the weight of
-    the best piece, is last of the inner ones, the bare space of the first ones.
+    Pieces with capitals A-Z or with white space but for one leading space are in no text as it is scored. The stop is last of
+    the inner ones, the bare space and the end are last of the first ones; each has the weight of the best piece.
     """
     inner: dict[bytes, float] = {}
-    first: dict[bytes, float] = {b"": 1.0}
+    first: dict[bytes, float] = {}
     with open(path, "rb") as f:
         for token, rank in map(bytes.split, f):
             token, weight = base64.b64decode(token), 1 / (1 + int(rank))
             side, body = (first, token[1:]) if token[:1] == b" " else (inner, token)
-            if len(body) <= LONGEST and body == body.lower() and not any(c in b" \t\n\x0b\x0c\r" for c in body):
-                if body:
-                    side[body] = weight
-                else:
-                    first[body] = weight
+            if body and body == body.lower() and not any(c in b" \t\n\x0b\x0c\r" for c in body):
+                side[body] = weight
     for b in range(256):
         inner.setdefault(bytes([b]), 1e-6)
-    bodies = sorted((inner.keys() | first.keys()) - {b""})
+    bodies = sorted(inner.keys() | first.keys())
     log_of = lambda d, x: log(d[x]) if x in d else -inf
     start_inner = np.array([log_of(inner, x) for x in bodies] + [0.0])
-    start_first = np.array([log_of(first, x) for x in bodies] + [log(first[b""])])
+    start_first = np.array([log_of(first, x) for x in bodies] + [0.0, 0.0])
     return Pieces(bodies), _normal(start_inner), _normal(start_first)
 
 
@@ -122,15 +132,16 @@ def _normal(logs: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """inner: log-probability of each inner piece, then the stop; first: of each first piece, then the bare space."""
+    """inner: log-probability of each inner piece, then the stop; first: of each first piece, then the bare space and the end."""
 
     def __init__(self, pieces: Pieces, inner: np.ndarray, first: np.ndarray):
         self.pieces, self.inner, self.first = pieces, inner, first
+        self.stop, self.bare, self.end = float(inner[-1]), float(first[-2]), float(first[-1])
 
     def _alpha(self, found: list, n: int) -> np.ndarray:
         """alpha[j]: log-probability of the first j bytes of each word, over all ways to cut them."""
         alpha = np.full((len(found) + 1, n), -inf)
-        alpha[0] = self.first[-1]
+        alpha[0] = self.bare
         for i, ends in enumerate(found):
             for m, (at, ids) in enumerate(ends, 1):
                 if len(at):
@@ -162,33 +173,49 @@ class Model:
         for i, w in enumerate(words):
             if len(w) > LONG_WORD:
                 out[i] = self._long(w)
-        return out + self.inner[-1]
+        return out + self.stop
+
+    def _forward(self, word: bytes) -> np.ndarray:
+        """_alpha of one long word."""
+        alpha = np.full(len(word) + 1, -inf)
+        alpha[0] = self.bare
+        for at in range(0, len(word), CHUNK):
+            end = min(at + CHUNK, len(word))
+            for i, found in enumerate(self.pieces.hits(word, at, end), at):
+                for j, k in found:
+                    way = alpha[i] + self.inner[k]
+                    alpha[j] = np.logaddexp(alpha[j], np.logaddexp(way, self.first[k]) if not i else way)
+        return alpha
 
     def _long(self, word: bytes) -> float:
-        """_alpha's last value for one word, in space for LONGEST values."""
-        recent = [float(self.first[-1])]  # the newest last
-        for j in range(1, len(word) + 1):
-            terms = []
-            for m in range(1, min(LONGEST, j) + 1):
-                i = self.pieces.number.get(word[j - m : j])
-                if i is not None:
-                    terms.append(recent[-m] + self.inner[i])
-                    if j == m:
-                        terms.append(self.first[i])
-            top = max(terms)
-            recent.append(top + log(sum(exp(x - top) for x in terms)))
-            del recent[:-LONGEST]
-        return recent[-1]
-
-    def expected(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Expected uses of each piece (inner and stop, first and bare space) over words."""
+        """_alpha's last value for one long word."""
+        return float(self._forward(word)[-1])
+
+    def _expected_long(self, word: bytes, inner: np.ndarray, first: np.ndarray, weight: float) -> None:
+        """Add to inner and first the expected uses of one long word."""
+        alpha, beta = self._forward(word), np.full(len(word) + 1, -inf)
+        beta[-1], total = 0.0, alpha[-1]
+        for at in reversed(range(0, len(word), CHUNK)):
+            found = self.pieces.hits(word, at, min(at + CHUNK, len(word)))
+            for i in range(at + len(found) - 1, at - 1, -1):
+                for j, k in found[i - at]:
+                    way = self.inner[k] + beta[j]
+                    inner[k] += weight * exp(alpha[i] + way - total)
+                    beta[i] = np.logaddexp(beta[i], way)
+                    if not i:
+                        first[k] += weight * exp(self.first[k] + beta[j] - total)
+        first[-2] += weight * exp(alpha[0] + beta[0] - total)
+        inner[-1] += weight
+
+    def expected(self, words: list[bytes], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Expected uses of each piece (inner and stop, first and bare space) over words that occur as often as weights say."""
         n = len(self.pieces.bodies)
-        inner, first = np.zeros(n + 1), np.zeros(n + 1)
-        # the stretches of a very long word count as words of their own: only their seams are lost
-        if any(len(w) > LONG_WORD for w in words):
-            words = [w[i : i + LONG_WORD] for w in words for i in range(0, len(w), LONG_WORD)]
+        inner, first = np.zeros(n + 1), np.zeros(n + 2)
+        for w, x in zip(words, weights.tolist(), strict=True):
+            if len(w) > LONG_WORD:
+                self._expected_long(w, inner, first, x)
         for own, raw, lengths in self._shelves(words):
-            found, each = self.pieces.find(raw), np.arange(len(own))
+            found, each, x = self.pieces.find(raw), np.arange(len(own)), weights[own].astype(np.float64)
             alpha = self._alpha(found, len(own))
             total = alpha[lengths, each]
             beta = np.full(alpha.shape, -inf)
@@ -199,12 +226,12 @@ class Model:
                         continue
                     rest = beta[i + m, at]
                     way = self.inner[ids] + rest
-                    inner += np.bincount(ids, np.exp(alpha[i, at] + way - total[at]), n + 1)
+                    inner += np.bincount(ids, x[at] * np.exp(alpha[i, at] + way - total[at]), n + 1)
                     beta[i, at] = np.logaddexp(beta[i, at], way)
                     if not i:
-                        first += np.bincount(ids, np.exp(self.first[ids] + rest - total[at]), n + 1)
-            inner[n] += len(own)
-            first[n] += np.exp(alpha[0] + beta[0] - total).sum()
+                        first += np.bincount(ids, x[at] * np.exp(self.first[ids] + rest - total[at]), n + 2)
+            inner[n] += x.sum()
+            first[n] += (x * np.exp(alpha[0] + beta[0] - total)).sum()
         return inner, first
 
 
@@ -225,38 +252,43 @@ def _unpack(raw: bytes) -> pa.Array:
 
 
 def _blocks(id_type: pa.DataType):
-    """Batches of (id, text, train) -> rows (block, word, places, train, ids); the empty word is the end."""
+    """Batches of (id, text, train) -> rows (block, word, places, train, ids); one row a block has no word, but its ids and training texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         number = TaskContext.get().partitionId() << 32
+        names = ["block", "word", "places", "train", "ids"]
         flat, ids, known, size, made = [], [], [], 0, 0
-        vocabulary: dict[bytes, int] = {b"": 0}
+        vocabulary: dict[bytes, int] = {}
         take = vocabulary.get
 
         def done() -> Iterator[pa.RecordBatch]:
+            own = pa.array([number + made])
+            yield pa.RecordBatch.from_arrays([own, pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.array([sum(known)], pa.int64()), pa.array([_pack(pa.array(ids, id_type))], pa.binary())], names)
             docs = np.repeat(np.arange(len(flat), dtype=np.int64), [len(x) for x in flat])
-            pairs, n = np.unique((np.concatenate(flat) << 16) | docs, return_counts=True)
-            word, doc = pairs >> 16, pairs & 0xFFFF
-            train = np.bincount(word, n * np.array(known, bool)[doc], len(vocabulary)).astype(np.int64)
-            places = np.empty(len(n), _PLACE)
-            places["doc"], places["n"] = doc, n
-            ends = _PLACE.itemsize * np.r_[0, np.cumsum(np.bincount(word, minlength=len(vocabulary)))]
+            pairs, n = np.unique((np.concatenate(flat).astype(np.int64) << 16) | docs, return_counts=True)
+            train = np.bincount(pairs >> 16, n * np.array(known, bool)[pairs & 0xFFFF], len(vocabulary)).astype(np.int64)
+            parts = -(-n // MOST)  # a place holds up to MOST; more take several
+            last = np.cumsum(parts) - 1
+            pairs = np.repeat(pairs, parts)
+            places = np.empty(len(pairs), _PLACE)
+            places["doc"], places["n"] = pairs & 0xFFFF, MOST
+            places["n"][last] = n - (parts - 1) * MOST
+            ends = _PLACE.itemsize * np.r_[0, np.cumsum(np.bincount(pairs >> 16, minlength=len(vocabulary)))]
             keys, raw = list(vocabulary), places.tobytes()
             for a in range(0, len(keys), 1 << 16):
                 b = min(a + (1 << 16), len(keys))
                 offsets = pa.array((ends[a : b + 1] - ends[a]).astype(np.int32)).buffers()[1]
                 packed = pa.Array.from_buffers(pa.binary(), b - a, [None, offsets, pa.py_buffer(raw[ends[a] : ends[b]])])
-                named = pa.array([None if a else _pack(pa.array(ids, id_type)), *[None] * (b - a - 1)], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(b - a, number + made)), pa.array(keys[a:b], pa.binary()), packed, pa.array(train[a:b]), named], ["block", "word", "places", "train", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(b - a, number + made)), pa.array(keys[a:b], pa.binary()), packed, pa.array(train[a:b]), pa.nulls(b - a, pa.binary())], names)
 
         for batch in batches:
             for key, text, train in zip(*(batch.column(c).to_pylist() for c in ("id", "text", "train")), strict=True):
-                got = [0]
+                got = []
                 for words in _tokens(text):
                     got += [i if (i := take(w)) is not None else vocabulary.setdefault(w, len(vocabulary)) for w in words]
-                flat.append(np.array(got, np.int64))
+                flat.append(np.array(got, np.int32))
                 ids.append(key)
                 known.append(train)
                 size += len(text or "")
@@ -264,7 +296,6 @@ def _blocks(id_type: pa.DataType):
                     yield from done()
                     flat, ids, known, size, made = [], [], [], 0, made + 1
                     vocabulary.clear()
-                    vocabulary[b""] = 0
         if flat:
             yield from done()
 
@@ -272,46 +303,28 @@ def _blocks(id_type: pa.DataType):
 
 
 def _word_logs(lattice: np.ndarray, c: np.ndarray, discount: float, total: int, free: float) -> np.ndarray:
-    """Log-probability of words: their discounted counts and their share of the lattice (its log), added up in log space."""
+    """Log-probability of tokens: their discounted counts and their share of the lattice (its log), added up in log space."""
     with np.errstate(divide="ignore"):
         return np.logaddexp(np.log(np.maximum(c - discount, 0) / max(total, 1)), np.log(free) + lattice)
 
 
-def _log_rising_of(log_x: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """_log_rising of exp(log_x), which may be less than the least double."""
-    # x (x + 1) ... (x + n - 1) is x times a rising factorial that begins at x + 1
-    out, more = log_x.copy(), n > 1
-    out[more] += _log_rising(np.exp(log_x[more]) + 1, n[more] - 1)
-    return out
-
+def _columns(c: np.ndarray, lattice: np.ndarray, total: int, distinct: int, discount: float, free: float) -> tuple[np.ndarray, ...]:
+    """What one token of count c and lattice log-probability adds to n_tokens, n_known, base_score, score and word_score."""
+    base = np.log10((c + 0.1) / (total + 0.1 * (distinct + 1)))
+    return np.ones(len(c)), (c > 0).astype(float), base, lattice / log(10), _word_logs(lattice, c, discount, total, free) / log(10)
 
-def _log_rising(x: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """log of x (x + 1) ... (x + n - 1)."""
-    out = np.log(x)
-    for i in range(1, 8):
-        more = n > i
-        if not more.any():
-            return out
-        out[more] += np.log(x[more] + i)
-    more = n > 8
-    z, y = x[more] + n[more], x[more] + 8
-    stirling = lambda v: (v - 0.5) * np.log(v) - v + 1 / (12 * v) - 1 / (360 * v**3) + 1 / (1260 * v**5)
-    out[more] += stirling(z) - stirling(y)
-    return out
 
-
-def _assemble(log_all: float, own: float):
-    """Rows sorted by block -> a row a document."""
+def _assemble(ends: int, end: float, of: tuple):
+    """Rows sorted by block -> a row a document; ends: count of the end, end: its log-probability, of: what _columns needs."""
+    own = np.concatenate(_columns(np.array([float(ends)]), np.array([end]), *of))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, ids = None, None
-        sums = np.zeros((4, BLOCK_ROWS))
+        sums = np.zeros((5, BLOCK_ROWS))
 
         def done() -> pa.RecordBatch:
-            n = len(ids)
-            tokens, known, base, score = sums[:, :n]
-            score = (score - _log_rising(np.full(n, own), tokens)) / log(10)
-            return pa.RecordBatch.from_arrays([ids, pa.array(tokens.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(base - tokens * log_all), pa.array(score)], ["id", "n_tokens", "n_known", "base_score", "score"])
+            tokens, known, *scores = sums[:, : len(ids)] + own[:, None]
+            return pa.RecordBatch.from_arrays([ids, pa.array(tokens.astype(np.int64)), pa.array(known.astype(np.int64)), *map(pa.array, scores)], ["id", "n_tokens", "n_known", "base_score", "score", "word_score"])
 
         for batch in batches:
             b = batch.column("block").to_numpy()
@@ -325,21 +338,21 @@ def _assemble(log_all: float, own: float):
                     sums[:] = 0
                 for v in part.column("ids").drop_null().to_pylist():
                     ids = _unpack(v)
+                part = part.filter(part.column("ids").is_null())
                 packed = part.column("places").to_pylist()
                 places = np.frombuffer(b"".join(packed), _PLACE)
-                of = np.repeat(np.arange(len(part)), [len(p) // _PLACE.itemsize for p in packed])
-                c, p = part.column("c").to_numpy(), part.column("p").to_numpy()
+                at = np.repeat(np.arange(len(part)), [len(p) // _PLACE.itemsize for p in packed])
                 n, doc = places["n"].astype(np.float64), places["doc"]
-                for k, v in enumerate((n, n * (c > 0)[of], n * np.log10(c + 0.1)[of], _log_rising_of((log(own) + p)[of], n))):
-                    sums[k] += np.bincount(doc, v, BLOCK_ROWS)
+                for k, v in enumerate(_columns(part.column("c").to_numpy().astype(np.float64), part.column("lattice").to_numpy(), *of)):
+                    sums[k] += np.bincount(doc, n * v[at], BLOCK_ROWS)
         if block is not None:
             yield done()
 
     return run
 
 
-def fit(words: DataFrame, path: str, rounds: int = ROUNDS) -> Model:
-    """Fit the pieces' probabilities to a table of distinct words (word)."""
+def fit(words: DataFrame, path: str, ends: int, rounds: int = ROUNDS) -> Model:
+    """Fit the pieces' probabilities to a table of distinct words and their counts (word, c), and to the number of texts."""
     pieces, prior_inner, prior_first = load_pieces(path)
     model = Model(pieces, prior_inner, prior_first)
     n = len(pieces.bodies)
@@ -347,16 +360,17 @@ def fit(words: DataFrame, path: str, rounds: int = ROUNDS) -> Model:
     for _ in range(rounds):
 
         def step(batches: Iterator[pa.RecordBatch], model: Model = model) -> Iterator[pa.RecordBatch]:
-            both = np.zeros(2 * n + 2)
+            both = np.zeros(2 * n + 3)
             for batch in batches:
-                both += np.concatenate(model.expected(batch.column("word").to_pylist()))
+                both += np.concatenate(model.expected(batch.column("word").to_pylist(), batch.column("c").to_numpy()))
             some = np.flatnonzero(both)
             yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(both[some])], ["piece", "uses"])
 
-        used = np.zeros(2 * n + 2)
+        used = np.zeros(2 * n + 3)
         # one row for each piece at most: the vocabulary bounds what the driver gets
-        for r in words.select("word").mapInArrow(step, "piece int, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).collect():
+        for r in words.select("word", "c").mapInArrow(step, "piece int, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).collect():
             used[r.piece] = r.uses
+        used[-1] = ends
         with np.errstate(divide="ignore"):
             inner = np.log(used[: n + 1] + PRIOR * np.exp(prior_inner))
             first = np.log(used[n + 1 :] + PRIOR * np.exp(prior_first))
@@ -364,14 +378,14 @@ def fit(words: DataFrame, path: str, rounds: int = ROUNDS) -> Model:
     return model
 
 
-def score_texts(docs: DataFrame, training: Column, path: str, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, own: float = OWN) -> DataFrame:
-    """One row per row of docs: (id, n_tokens, n_known, train_tokens, base_score, score).
+def score_texts(docs: DataFrame, training: Column, path: str, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
+    """One row per row of docs: (id, n_tokens, n_known, train_tokens, base_score, score, word_score).
 
     training (a condition on the id column) says which rows to learn from. Words are the runs without white space, A-Z
     lower-cased, then one end; null and empty texts are an end alone. n_known counts tokens that training has; base_score is
-    the log10 probability under the word model with 0.1 added to every count, score that under the lattice model. Repeated
-    rows are scored, and learnt from, as often as they occur. With nothing to learn from, scores are those of the
-    vocabulary. An empty table gives an empty result. Other columns of docs are not read.
+    the log10 probability under the word model with 0.1 added to every count, score that of the lattice, word_score that of the lattice with
+    arcs across the words of training. Repeated rows are scored, and learnt from, as often as they occur. With nothing to learn
+    from, scores are those of the vocabulary. An empty table gives an empty result. Other columns of docs are not read.
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -380,31 +394,28 @@ def score_texts(docs: DataFrame, training: Column, path: str, id_col: str = "doc
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(training, F.lit(False)).alias("train"))
     schema = StructType([StructField("block", LongType()), StructField("word", BinaryType()), StructField("places", BinaryType()), StructField("train", LongType()), StructField("ids", BinaryType())])
     postings = scratch(rows.mapInArrow(_blocks(id_type), schema), "postings")
-    counts = scratch(postings.groupBy("word").agg(F.sum("train").alias("c")), "counts")
+    counts = scratch(postings.where("word is not null").groupBy("word").agg(F.sum("train").alias("c")), "counts")
     free_shuffles(docs)
+    ends = postings.where("word is null").agg(F.sum("train")).first()[0] or 0
     of = counts.agg(F.sum("c").alias("n"), *(F.count_if(F.expr(f"c {x}")).alias(k) for k, x in (("v", "> 0"), ("once", "= 1"), ("twice", "= 2")))).first()
-    total, distinct = of.n or 0, of.v or 0
-    model = fit(counts.where("c > 0 and word != X''"), path, rounds)
-    discount = max(0.1, min(0.9, of.once / (of.once + 2 * of.twice))) if of.once else 0.5
-    # of all probability, what the discounts leave to the lattice and, as if it were one more word, to an unseen end
-    free = discount * distinct / total if total else 1.0
+    total, distinct, once, twice = (of.n or 0) + ends, of.v + (ends > 0), of.once + (ends == 1), of.twice + (ends == 2)
+    model = fit(counts.where("c > 0"), path, ends, rounds)
+    discount = max(0.1, min(0.9, once / (once + 2 * twice))) if once else 0.5
+    free = discount * distinct / total if total else 1.0  # what the discounts leave to the lattice
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words, c = batch.column("word").to_pylist(), batch.column("c").to_numpy()
-            with np.errstate(divide="ignore"):
-                lattice = model.score(words) + np.log(distinct / (distinct + 1))
-            lattice[[i for i, w in enumerate(words) if not w]] = -log(distinct + 1)
-            p = _word_logs(lattice, c, discount, total, free)
-            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), pa.array(p)], ["word", "c", "p"])
-
-    scored = scratch(counts.mapInArrow(score, "word binary, c bigint, p double"), "scored")
+            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), pa.array(model.score(batch.column("word").to_pylist()))], ["word", "c", "lattice"])
+
+    scored = scratch(counts.mapInArrow(score, "word binary, c bigint, lattice double"), "scored")
     drop_scratch(counts)
-    met = postings.join(scored, "word").select("block", "places", "ids", "c", "p").repartition("block").sortWithinPartitions("block")
-    out_schema = StructType([StructField("id", key.dataType), *(StructField(k, LongType()) for k in ("n_tokens", "n_known")), *(StructField(k, DoubleType()) for k in ("base_score", "score"))])
+    met = postings.join(scored, "word").select("block", "places", "ids", "c", "lattice")
+    met = met.union(postings.where("word is null").select("block", "places", "ids", F.lit(None).cast("bigint"), F.lit(None).cast("double")))
+    out_schema = StructType([StructField("id", key.dataType), *(StructField(k, LongType()) for k in ("n_tokens", "n_known")), *(StructField(k, DoubleType()) for k in ("base_score", "score", "word_score"))])
     # a block bounds what its rows hold together
     with unmeasured_batches(docs.sparkSession):
-        out = scratch(met.mapInArrow(_assemble(log10(total + 0.1 * (distinct + 1)), own), out_schema), "scores")
-    drop_scratch(postings)
+        out = scratch(met.repartition("block").sortWithinPartitions("block").mapInArrow(_assemble(ends, model.end, (total, distinct, discount, free)), out_schema), "scores")
+    for x in (postings, scored):
+        drop_scratch(x)
     free_shuffles(docs)
-    return out.select(F.col("id").alias(id_col), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+    return out.select(F.col("id").alias(id_col), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score", "word_score")
