@@ -1,12 +1,16 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped into lines, one per block element; the lengths of the text in LINES successive lines are summed; text
-begins where the sums surge, ends where they dive, and lines between are kept. Two properties of a line weigh
-into its length, as tags are dense in menus and absent in prose: text inside links counts nothing, and text
-inside elements that HTML itself reserves for other things (nav, footer, aside, form, script ...; also header
-outside of an article) or whose class, id or role names them (ads, comments, cookie notices, sidebars ...) is no text
-at all. Where a page marks its article (article, else main), lines in it weigh SURGE more, so none is too short, and
-lines outside it nothing.
+Markup is stripped into lines, one per block element; the lengths of the text in LINES successive lines are summed, at every line. The
+sums surge where text begins, having risen from nothing, and dive to nothing where it ends; lines that weigh something between
+are kept. What is known of a line weighs into its length, as tags are dense in menus and absent in prose:
+
+* text inside links counts nothing;
+* lines inside elements that HTML itself reserves for other things (nav, footer, aside, form, button ...; also header outside of
+  an article) or whose class, id or role names them (ads, comments, cookie notices, sidebars ...) weigh nothing;
+* where a page marks its article (article, else main) and the mark holds a fair part of its text, lines in the mark weigh LIFT
+  more, so short ones count among long ones, and lines outside DOUBT less, so only long prose does.
+
+Sums surge at SURGE, on pages of little text at half of the largest sum. Nothing is decided by a tag alone.
 """
 
 from __future__ import annotations
@@ -23,6 +27,10 @@ from pyspark.sql import functions as F
 LINES = 3
 #: Characters of a block at which text surges; it dives when a block has none.
 SURGE = 80
+#: Characters that lines inside a marked article weigh more, and lines outside less.
+LIFT, DOUBT = 27, 160
+#: Least share of a page's text that a mark holds, if it counts.
+SHARE = 1 / 3
 
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
 _ATTRIBUTE = re.compile(r"(?i)(?:^|\s)(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
@@ -39,7 +47,7 @@ _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dia
 
 @dataclass
 class _Line:
-    text: str
+    text: str  # empty where it is of other things
     weight: int  # characters outside links
     mark: int  # 2 in an article, 1 in main, else 0
 
@@ -55,21 +63,24 @@ def _other(attributes: str) -> bool:
     return False
 
 
-def lines_of(page: str) -> tuple[list[_Line], int]:
-    """The blocks of a page in order, without markup and without what is no text; the highest mark of the page."""
+def lines_of(page: str) -> list[_Line]:
+    """The blocks of a page in order, without markup."""
     out: list[_Line] = []
     parts: list[str] = []
     stack: list[tuple[str, bool, int]] = []  # element, whether it drops its content, its mark
-    drop = links = weight = marked = 0
+    drop = links = weight = 0
     inside, at, n = [0, 0, 0], 0, len(page)
+    other_text = False
 
     def flush() -> None:
-        nonlocal weight
+        nonlocal weight, other_text
         text = _SPACE.sub(" ", _html.unescape("".join(parts))).strip()
         if text:
             out.append(_Line(text, weight, 2 if inside[2] else 1 if inside[1] else 0))
+        if other_text:
+            out.append(_Line("", 0, 0))
         parts.clear()
-        weight = 0
+        weight, other_text = 0, False
 
     def pop() -> None:
         nonlocal drop
@@ -83,7 +94,9 @@ def lines_of(page: str) -> tuple[list[_Line], int]:
             m_start, m_end = n, n
         else:
             m_start, m_end = m.span()
-        if m_start > at and not drop:
+        if m_start > at and drop:
+            other_text = other_text or not page[at:m_start].isspace()
+        elif m_start > at:
             parts.append(page[at:m_start])
             if not links:
                 weight += len(page[at:m_start].strip())
@@ -133,24 +146,42 @@ def lines_of(page: str) -> tuple[list[_Line], int]:
         stack.append((name, other, mark))
         drop += other
         inside[mark] += 1
-        marked = max(marked, mark * (not drop))
     flush()
-    return out, marked
+    return out
+
+
+def weights_of(lines: list[_Line]) -> list[int]:
+    """What each line weighs in the distribution."""
+    total = sum(x.weight for x in lines)
+    for mark in (2, 1):
+        held = [x.weight for x in lines if x.mark >= mark and x.text]
+        if held and sum(held) >= SHARE * total:
+            return [0 if not x.text else x.weight + LIFT if x.mark >= mark else max(0, x.weight - DOUBT) for x in lines]
+    return [x.weight for x in lines]
+
+
+def text_lines(weights: list[int]) -> list[bool]:
+    """Which lines lie between a surge of the sums and the dive behind it, by the weights of the lines."""
+    sums = [sum(weights[i : i + LINES]) for i in range(len(weights))]
+    surge = min(SURGE, max(sums, default=0) / 2)
+    keep, i = [False] * len(weights), 0
+    while i < len(weights):
+        if sums[i] >= surge and weights[i]:
+            k = i - 1
+            while k >= 0 and weights[k]:  # the sums rise from where they were nothing
+                keep[k] = True
+                k -= 1
+            while i < len(weights) and sums[i]:  # up to the dive
+                keep[i] = weights[i] > 0
+                i += 1
+        i += 1
+    return keep
 
 
 def extract(page: str | None) -> str:
     """Main text of a page: its blocks in order, one a line; empty for a null or empty page or one without text."""
-    lines, marked = lines_of(page or "")
-    weights = [(SURGE + x.weight) * (x.mark == marked) if marked else x.weight for x in lines]
-    sums = [sum(weights[i : i + LINES]) for i in range(len(lines))]
-    keep, i = [False] * len(lines), 0
-    while i < len(lines):
-        if sums[i] >= SURGE and weights[i]:
-            while i < len(lines) and sums[i]:  # up to the dive
-                keep[i] = weights[i] > 0
-                i += 1
-        i += 1
-    return "\n".join(x.text for x, k in zip(lines, keep, strict=True) if k)
+    lines = lines_of(page or "")
+    return "\n".join(x.text for x, k in zip(lines, text_lines(weights_of(lines)), strict=True) if k)
 
 
 def _extract_all(pages: pa.Array) -> pa.Array:
