@@ -28,13 +28,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
 #: Characters of a text that are split at once.
-LEAF_CHARS = 1 << 15
+LEAF_CHARS = 512
 #: Characters behind a piece that can decide where it ends.
 SEEN = 3
-#: Bytes of a piece that are merged at once.
-LEAF_BYTES = 48
-#: Encodings of pieces that a worker remembers before it forgets them all.
-REMEMBERED = 1 << 17
+#: Bytes of a piece that are merged at once, and ids that are decoded at once.
+LEAF_BYTES, LEAF_IDS = 8, 256
+#: Bytes of a window up to which it is merged by a scan of its pairs instead of a heap.
+SCAN_BYTES = 192
+#: Encodings of pieces, of up to SHORT characters each, that a worker remembers before it forgets them all.
+REMEMBERED, SHORT = 1 << 18, 48
 
 
 class _Memory(dict):
@@ -45,7 +47,7 @@ class _Memory(dict):
 
     def __missing__(self, piece: str) -> bytes:
         out = np.array(self.make(piece.encode()), "<u4").tobytes()
-        if len(piece) <= LEAF_BYTES:
+        if len(piece) <= SHORT:
             if len(self) >= REMEMBERED:
                 self.clear()
             self[piece] = out
@@ -60,6 +62,7 @@ class ByteBPE:
         self.bytes_of = {i: t for t, i in ranks.items()}
         self.memory = _Memory(self.encode_piece)
         self._stable = lru_cache(1 << 16)(lambda a, b: self._merge(a + b) == [a, b])
+        self._short = lru_cache(1 << 16)(lambda piece: tuple(self._merge(piece)))
 
     # tokens of a piece
 
@@ -80,11 +83,13 @@ class ByteBPE:
 
     def _join(self, left: list[bytes], right: list[bytes]) -> list[bytes]:
         """Encoding of the two encodings' bytes together."""
+        if self._stable(left[-1], right[0]):
+            return left + right
         width = 1
         while True:
             a, b = max(0, len(left) - width), min(len(right), width)
             window = b"".join(left[a:]) + b"".join(right[:b])
-            inner = self._merge(window) if len(window) <= 4 * LEAF_BYTES else self._heaped(window)
+            inner = list(self._short(window)) if len(window) <= 2 * LEAF_BYTES else self._merge(window) if len(window) <= SCAN_BYTES else self._heaped(window)
             if (not a or self._stable(left[a - 1], inner[0])) and (b == len(right) or self._stable(inner[-1], right[b])):
                 return left[:a] + inner + right[b:]
             width *= 2
@@ -116,7 +121,7 @@ class ByteBPE:
 
     def _tokens(self, piece: bytes) -> list[bytes]:
         if len(piece) <= LEAF_BYTES:
-            return self._merge(piece)
+            return list(self._short(piece))
         half = len(piece) // 2
         return self._join(self._tokens(piece[:half]), self._tokens(piece[half:]))
 
@@ -161,8 +166,12 @@ class ByteBPE:
     def encode(self, text: str | None) -> list[int]:
         return np.frombuffer(self.encode_packed(text), "<u4").tolist()
 
-    def decode(self, ids) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+    def decode(self, ids: list[int]) -> bytes:
+        """Bytes of ids: those of the halves, one after the other."""
+        if len(ids) <= LEAF_IDS:
+            return b"".join(map(self.bytes_of.__getitem__, ids))
+        half = len(ids) // 2
+        return self.decode(ids[:half]) + self.decode(ids[half:])
 
 
 @lru_cache(4)

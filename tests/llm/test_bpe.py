@@ -19,7 +19,7 @@ def reference():
     return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-@pytest.mark.parametrize("leaf_chars,leaf_bytes", [(3, 4), (7, 8), (50, 48), (1 << 15, 48)])
+@pytest.mark.parametrize("leaf_chars,leaf_bytes", [(3, 4), (7, 8), (50, 48), (512, 8), (1 << 15, 1)])
 def test_tree_equals_library(reference, monkeypatch, leaf_chars, leaf_bytes):
     monkeypatch.setattr(bpe, "LEAF_CHARS", leaf_chars)
     monkeypatch.setattr(bpe, "LEAF_BYTES", leaf_bytes)
@@ -45,6 +45,23 @@ def test_seams_in_contractions(reference, monkeypatch, leaf_chars):
     assert all(coder.pieces("x" * k + text) == coder.split.findall("x" * k + text) for k in range(40))
 
 
+def test_the_tree_runs_on_ordinary_texts(reference, monkeypatch):
+    import pyarrow.parquet as pq
+
+    texts = pq.read_table("/root/testdata/sf0.001/documents.parquet").column("text").to_pylist()
+    coder = bpe.load(PATH, P.PATTERN)
+    coder.memory.clear()
+    want = [reference.encode_ordinary(t or "") for t in texts]
+    assert [coder.encode(t) for t in texts] == want
+    assert [coder.decode(x) for x in want] == [(t or "").encode() for t in texts]
+    # without the join of neighbours most texts come out wrong
+    monkeypatch.setattr(bpe.ByteBPE, "_join", lambda self, left, right: left + right)
+    coder.memory.clear()
+    wrong = sum(coder.encode(t) != x for t, x in zip(texts, want, strict=True))
+    coder.memory.clear()
+    assert wrong > 0.9 * len(texts)
+
+
 def test_query_and_edge_rows(spark, reference):
     texts = [None, "", " ", "<|endoftext|> x", "a" * 70000, "word " * 9000, "same", "same"]
     df = spark.createDataFrame([(i, t, "clash", 1) for i, t in enumerate(texts)], "doc_id bigint, text string, ids string, decoded int")
