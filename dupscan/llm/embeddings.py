@@ -4,16 +4,18 @@ Unit vectors are quantised to int8 with a scale of their own; the norm of what i
 product and the two norms bound the true cosine from both sides: pairs whose upper bound is under the threshold are
 done, those whose lower bound reaches it are links, and only the others are computed again in double precision.
 
-Which tiles are multiplied: equal vectors are one; all others are compared at every size, tile by tile: above TILE vectors
-they are cut into tiles that meet two by two, and each meeting passes on counts and a spanning forest. The number of
-meetings grows with the square of the distinct vectors. plan_tables and the codes of tables serve callers that want
-fewer meetings and accept that some links are missed; near_duplicates does not use more than one table without bits.
+A tile product is one matrix product of the codes, times the scales, in single precision. Its rounding error and the largest
+loss of the tile, both added up, discard nearly all pairs in one comparison; what is left gets exact integer products and
+bounds of its own.
+
+Equal vectors are one; all others are compared at every size: they are cut into tiles that meet two by two, and each meeting
+passes on counts and a spanning forest. The number of meetings grows with the square of the distinct vectors, and the copies
+of a vector that are shuffled with their number over the tile's.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import acos, ceil, log, log2, pi
 
 import numpy as np
 import pyarrow as pa
@@ -24,106 +26,81 @@ from dupscan.llm.common import connected_components, local_components, scratch
 
 #: Cosine from which two vectors link.
 THRESHOLD = 0.95
-#: Vectors of a bucket, on average.
-BUCKET = 1024
-#: Vectors of a tile.
-TILE = 2048
-#: Chance that no table brings together a pair at the threshold.
-MISS = 0.004
-#: Hot buckets up to which their list is broadcast; beyond it it is joined by a shuffle.
+#: Vectors of a tile at most, and bytes of it in double precision, which for long vectors makes it smaller.
+TILE, TILE_BYTES = 8192, 32 << 20
+#: Tiles into which vectors are cut at least, so that their meetings are many tasks, but not below LEAST vectors each.
+TILES, LEAST = 12, 1024
+#: Vectors of a part of a tile that is multiplied at once.
+PART = 512
+#: Lengths of vectors up to whose number their list is broadcast; beyond it it is joined by a shuffle.
 BROADCAST_ROWS = 100_000
 #: Slack for the rounding of double arithmetic in the bounds.
 EPSILON = 1e-9
 
 
-def plan_tables(n: int, threshold: float = THRESHOLD) -> tuple[int, int]:
-    """(bits of a table, tables) for n distinct vectors."""
-    bits = max(0, ceil(log2(max(n, 1) / BUCKET)))
-    agree = (1 - acos(threshold) / pi) ** bits
-    return bits, 1 if agree >= 1 else max(1, ceil(log(MISS) / log(1 - agree)))
-
-
 def _unit(flat: np.ndarray, dim: int) -> np.ndarray:
     x = flat.astype(np.float64).reshape(-1, dim)
     x = x / np.abs(x).max(1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _codes(bits: int, tables: int):
-    """Batches of vectors of equal or mixed length -> the same with their bucket in each table."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            vectors = batch.column("vector")
-            sizes = np.diff(vectors.offsets.to_numpy())
-            out = np.zeros((len(sizes), tables), np.int64)
-            for dim in np.unique(sizes):
-                at = np.flatnonzero(sizes == dim)
-                u = _unit(vectors.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False), dim)
-                planes = np.random.default_rng(dim).standard_normal((dim, tables * bits))
-                signs = (u @ planes > 0).reshape(len(at), tables, bits)
-                out[at] = signs @ (1 << np.arange(bits, dtype=np.int64)) if bits else 0
-            codes = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1) * tables, pa.int32()), pa.array(out.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("node"), vectors, batch.column("n"), codes], ["node", "vector", "n", "codes"])
-
-    return run
-
-
 class _Tile:
     """Vectors, quantised, with what the bounds need."""
 
-    def __init__(self, u: np.ndarray, codes: np.ndarray, n: np.ndarray, node: np.ndarray):
-        self.u, self.codes, self.n, self.node = u, codes, n, node
+    def __init__(self, u: np.ndarray, n: np.ndarray, node: np.ndarray):
+        self.u, self.n, self.node = u, n, node
         scale = np.abs(u).max(1) / 127
         q = np.rint(u / scale[:, None])
         self.q, self.scale = q.astype(np.int8), scale
         self.lost = np.linalg.norm(u - q * scale[:, None], axis=1)
         self.norm = np.linalg.norm(q, axis=1) * scale
-
-    def part(self, at) -> _Tile:
-        out = object.__new__(_Tile)
-        out.__dict__ = {k: v[at] for k, v in self.__dict__.items()}
-        return out
-
-
-def _links(a: _Tile, b: _Tile, table: int, threshold: float) -> np.ndarray:
-    """Boolean matrix of the links of two tiles that no earlier table has brought together."""
-    # int8 products in float32 are exact: sums stay below 2 ** 24 up to 1040 components
-    exact = np.float32 if a.q.shape[1] <= 1000 else np.float64
-    near = (a.q.astype(exact) @ b.q.astype(exact).T).astype(np.float64) * a.scale[:, None] * b.scale[None]
-    slack = a.lost[:, None] * (b.norm + b.lost)[None] + a.norm[:, None] * b.lost[None] + EPSILON
-    linked = near - slack >= threshold
-    i, j = np.nonzero((near + slack >= threshold) & ~linked)
-    for at in range(0, len(i), 1 << 15):
-        x, y = i[at : at + (1 << 15)], j[at : at + (1 << 15)]
-        linked[x, y] = np.einsum("ij,ij->i", a.u[x], b.u[y]) >= threshold
-    if linked.any():
-        for t in range(table):
-            linked &= a.codes[:, t][:, None] != b.codes[:, t][None]
-    return linked
-
-
-def _meet(tile: _Tile, own: np.ndarray, table: int, low: int, high: int, threshold: float) -> pa.RecordBatch:
+        self.near = (q * scale[:, None]).astype(np.float32)
+
+
+def _rounding(dim: int) -> float:
+    """Bound of the error of a single-precision product of two vectors of norm 1.1 at most, in any order of summation."""
+    return (dim + 3) * 2.0**-24 * 1.3
+
+
+def _links(a: _Tile, b: _Tile, rows: slice, cols: slice, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places (in a, in b) of the links of some rows of two tiles."""
+    dim = a.q.shape[1]
+    lost_a, lost_b = a.lost[rows].max(), b.lost[cols].max()
+    most = lost_a * (b.norm[cols].max() + lost_b) + a.norm[rows].max() * lost_b + EPSILON + _rounding(dim)
+    product = a.near[rows] @ b.near[cols].T
+    i, j = np.divmod(np.flatnonzero(product.ravel() >= np.float32(threshold - most - 1e-6)), product.shape[1])
+    i, j = i + rows.start, j + cols.start
+    keep = []
+    for at in range(0, len(i), 1 << 14):
+        x, y = i[at : at + (1 << 14)], j[at : at + (1 << 14)]
+        near = np.einsum("ij,ij->i", a.q[x].astype(np.int32), b.q[y].astype(np.int32)) * a.scale[x] * b.scale[y]
+        slack = a.lost[x] * (b.norm[y] + b.lost[y]) + a.norm[x] * b.lost[y] + EPSILON
+        hit = near - slack >= threshold
+        again = np.flatnonzero((near + slack >= threshold) & ~hit)
+        hit[again] = np.einsum("ij,ij->i", a.u[x[again]], b.u[y[again]]) >= threshold
+        keep.append(hit)
+    kept = np.concatenate(keep) if keep else np.empty(0, bool)
+    return i[kept], j[kept]
+
+
+def _meet(tile: _Tile, own: np.ndarray, low: int, high: int, threshold: float) -> pa.RecordBatch:
     """Counts and spanning links of one tile with itself, or of two tiles with each other."""
     m = len(own)
-    count, ends = np.zeros(m, np.int64), []
-    first, second = (np.flatnonzero(own == x) for x in (low, high))
-    for r in range(0, len(first), 512):
-        rows = first[r : r + 512]
-        for c in range(r if low == high else 0, len(second), 512):
-            cols = second[c : c + 512]
-            hit = _links(tile.part(rows), tile.part(cols), table, threshold)
-            if low == high and r == c:
-                hit = np.triu(hit, 1)
-            if hit.any():
-                count[rows] += hit @ tile.n[cols]
-                count[cols] += hit.T @ tile.n[rows]
-                i, j = np.nonzero(hit)
-                ends.append((rows[i], cols[j]))
-    some = np.flatnonzero(count)
-    a, b = (np.concatenate(x) for x in zip(*ends, strict=True)) if ends else (some, some)
-    label = local_components(a, b, m)
-    far = np.flatnonzero(label != np.arange(m))
+    label, count = np.arange(m), np.zeros(m, np.int64)
+    parts = [[slice(r, min(r + PART, end)) for r in range(begin, end, PART)] for begin, end in ((np.searchsorted(own, x), np.searchsorted(own, x, "right")) for x in (low, high))]
+    for k, rows in enumerate(parts[0]):
+        ends = []
+        for cols in parts[1][k if low == high else 0 :]:
+            i, j = _links(tile, tile, rows, cols, threshold)
+            if rows == cols:
+                i, j = i[i < j], j[i < j]
+            if len(i):
+                count += np.bincount(i, tile.n[j], m).astype(np.int64) + np.bincount(j, tile.n[i], m).astype(np.int64)
+                ends.append((label[i], label[j]))
+        if ends:  # a forest so far is all that is kept of the links
+            a, b = (np.concatenate(x) for x in zip(*ends, strict=True))
+            label = local_components(a, b, m)[label]
+    some, far = np.flatnonzero(count), np.flatnonzero(label != np.arange(m))
     left = pa.array(np.r_[tile.node[some], tile.node[far]])
     right = pa.array(np.r_[np.zeros(len(some), np.int64), tile.node[label[far]]], mask=np.r_[np.ones(len(some), bool), np.zeros(len(far), bool)])
     return pa.RecordBatch.from_arrays([left, right, pa.array(np.r_[count[some], np.zeros(len(far), np.int64)])], ["a", "b", "links"])
@@ -131,14 +108,13 @@ def _meet(tile: _Tile, own: np.ndarray, table: int, low: int, high: int, thresho
 
 def _meetings(threshold: float):
     """Rows sorted by their meeting, which batches may cut; a meeting is complete before it is worked off."""
-    keys = ("dim", "t", "code", "low", "high")
+    keys = ("dim", "low", "high")
 
     def done(rows: pa.Table) -> pa.RecordBatch:
-        dim, t, _, low, high = (rows.column(k)[0].as_py() for k in keys)
+        dim, low, high = (rows.column(k)[0].as_py() for k in keys)
         flat = pa.concat_arrays([c.flatten() for c in rows.column("vector").chunks]).to_numpy(zero_copy_only=False)
-        codes = pa.concat_arrays([c.flatten() for c in rows.column("codes").chunks]).to_numpy(zero_copy_only=False)
-        tile = _Tile(_unit(flat, dim), codes.reshape(len(rows), -1), rows.column("n").to_numpy(), rows.column("node").to_numpy())
-        return _meet(tile, rows.column("own").to_numpy(), t, low, high, threshold)
+        tile = _Tile(_unit(flat, dim), rows.column("n").to_numpy(), rows.column("node").to_numpy())
+        return _meet(tile, rows.column("own").to_numpy(), low, high, threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_, key = [], None
@@ -161,18 +137,16 @@ def _meetings(threshold: float):
 
 def _links_of(distinct: DataFrame, threshold: float) -> DataFrame:
     """(a, b, links): counts of links (b null) and spanning links (a, b) of distinct vectors (node, vector, n)."""
-    bits, tables = 0, 1  # one bucket: every pair meets
-    coded = scratch(distinct.select("node", "vector", "n").mapInArrow(_codes(bits, tables), "node bigint, vector array<float>, n bigint, codes array<bigint>".replace("float", distinct.schema["vector"].dataType.elementType.simpleString())), "codes")
-    rows = coded.select("*", F.size("vector").alias("dim"), F.posexplode("codes").alias("t", "code"))
-    hot = scratch(rows.groupBy("dim", "t", "code").count().where(f"count > {TILE}").select("dim", "t", "code", F.ceil(F.col("count") / TILE).cast("int").alias("tiles")), "hot")
-    if hot.count() <= BROADCAST_ROWS:
-        hot = F.broadcast(hot)
-    tiles = F.coalesce("tiles", F.lit(1))
-    rows = rows.join(hot, ["dim", "t", "code"], "left").withColumn("tiles", tiles).withColumn("own", F.pmod(F.xxhash64("node", F.lit(1)), F.col("tiles")).cast("int"))
+    rows = distinct.select("node", "vector", "n", F.size("vector").alias("dim"))
+    size = F.least(F.lit(TILE), F.greatest(F.lit(LEAST), F.col("count") / TILES), F.lit(TILE_BYTES) / (8 * F.col("dim")))
+    tiles = scratch(rows.groupBy("dim").count().select("dim", F.ceil(F.col("count") / size).cast("int").alias("tiles")), "tiles")
+    if tiles.count() <= BROADCAST_ROWS:
+        tiles = F.broadcast(tiles)
+    rows = rows.join(tiles, "dim").withColumn("own", F.pmod(F.xxhash64("node", F.lit(1)), F.col("tiles")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    group = ["dim", "t", "code", "low", "high"]
-    rows = rows.select("dim", "t", "code", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "n", "vector", "codes")
-    return rows.repartition(*group).sortWithinPartitions(*group).mapInArrow(_meetings(threshold), "a bigint, b bigint, links bigint")
+    group = ["dim", "low", "high"]
+    rows = rows.select("dim", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "n", "vector")
+    return rows.repartition(*group).sortWithinPartitions(*group, "own").mapInArrow(_meetings(threshold), "a bigint, b bigint, links bigint")
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:

@@ -33,19 +33,18 @@ def planted(seed, n=160, dim=16):
     return rows + [(1003, None), (1004, []), (1005, [0.0] * dim), (1006, [None] * dim), (1007, [float("nan")] * dim), (1008, [float("inf")] * dim), (1009, [1.0]), (1010, [2.0]), (None, None)]
 
 
-@pytest.mark.parametrize("bucket,tile", [(1024, 2048), (1024, 32), (64, 16)])
-def test_matches_brute_force(spark, monkeypatch, bucket, tile):
-    monkeypatch.setattr(embeddings, "BUCKET", bucket)
+@pytest.mark.parametrize("tile,part", [(8192, 512), (32, 512), (64, 8)])
+def test_matches_brute_force(spark, monkeypatch, tile, part):
     monkeypatch.setattr(embeddings, "TILE", tile)
-    monkeypatch.setattr(embeddings, "MISS", 1e-6)
-    rows = planted(bucket + tile)
+    monkeypatch.setattr(embeddings, "PART", part)
+    rows = planted(tile + part)
     df = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id bigint, embedding array<float>, n_links string")
     got = sorted((tuple(r) for r in embeddings.near_duplicates(df).collect()), key=str)
     assert got == brute(rows)
 
 
 def test_no_pair_is_missed_at_the_production_setting(spark):
-    # 1,500 pairs right above the threshold, more distinct vectors than BUCKET
+    # 1,500 pairs right above the threshold, in more than one tile
     rng, dim, m = np.random.default_rng(7), 32, 1500
     x = rng.standard_normal((m, dim))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
@@ -58,20 +57,26 @@ def test_no_pair_is_missed_at_the_production_setting(spark):
     assert min(r.n_links for r in got) >= 1
 
 
-def test_bounds_hold():
+@pytest.mark.parametrize("dim", [3, 24, 700])
+def test_bounds_hold(dim):
     rng = np.random.default_rng(2)
-    u = embeddings._unit(rng.standard_normal(200 * 24), 24)
-    t = embeddings._Tile(u, np.zeros((200, 1)), np.ones(200), np.arange(200))
+    u = embeddings._unit(rng.standard_normal(200 * dim), dim)
+    t = embeddings._Tile(u, np.ones(200), np.arange(200))
     near = (t.q.astype(float) @ t.q.astype(float).T) * t.scale[:, None] * t.scale
     slack = t.lost[:, None] * (t.norm + t.lost) + t.norm[:, None] * t.lost + embeddings.EPSILON
     assert (np.abs(near - u @ u.T) <= slack).all()
+    assert (np.abs(t.near @ t.near.T - near) <= embeddings._rounding(dim)).all()
 
 
-def test_tables_keep_recall():
-    assert embeddings.plan_tables(500) == (0, 1)
-    for n in (5_000, 10**6, 10**9):
-        bits, tables = embeddings.plan_tables(n)
-        assert n / 2**bits <= embeddings.BUCKET and (1 - (1 - np.arccos(0.95) / np.pi) ** bits) ** tables <= embeddings.MISS
+def test_codes_alone_discard_most_pairs(monkeypatch):
+    rng = np.random.default_rng(3)
+    t = embeddings._Tile(embeddings._unit(rng.standard_normal(600 * 64), 64), np.ones(600), np.arange(600))
+    exact = t.u @ t.u.T
+    i, j = embeddings._links(t, t, slice(0, 300), slice(300, 600), 0.3)
+    assert set(zip(i.tolist(), j.tolist(), strict=True)) == set(zip(*((np.argwhere(exact[:300, 300:] >= 0.3) + [0, 300]).T.tolist()), strict=True))
+    # nothing is linked that the codes don't let through
+    t.near = np.zeros_like(t.near)
+    assert not len(embeddings._links(t, t, slice(0, 300), slice(300, 600), 0.3)[0])
 
 
 def test_empty_table(spark):
