@@ -4,13 +4,13 @@
    counted where they lie, and each task passes on sums for a fixed number of buckets. The smoothed log-ratio of the
    two classes' shares is a feature's scale.
 2. Weights. The FEATURES n-grams whose occurrence depends most on the class (chi-square over all training rows) stay.
-   A logistic regression with an L2 penalty, whose value for a feature is its scale times the root of how densely the
-   n-gram occurs in the text (so that what long texts hold by chance weighs little), is fitted on at most SAMPLE training rows of each class (those of smallest hashed id); its intercept is then set
-   right for the classes' real shares.
-3. Scores. Every whole text is scored where it lies, in one pass over its bytes.
+   A logistic regression with an L2 penalty is fitted on at most SAMPLE distinct training rows of each class (those of smallest hash).
+   A feature's value in a text is the root of how densely the n-gram occurs in it (so that what long texts hold by chance
+   weighs little), scaled by the feature's log-count ratio. The intercept is then set right for the classes' real shares.
+3. Scores. Every whole text is scored where it lies, in one pass over its characters.
 
-N-grams run over the bytes of the text with A-Z lower-cased and runs of white space as one space, and a space at
-either end. Nothing but the text enters a score.
+N-grams run over the characters (code points) of the text with A-Z lower-cased and runs of white space as one space, and a
+space at either end. Nothing but the text enters a score.
 """
 
 from __future__ import annotations
@@ -26,42 +26,57 @@ from pyspark.sql import functions as F
 
 from dupscan.llm.common import scratch
 
-#: Lengths of the n-grams, in bytes.
+#: Lengths of the n-grams, in characters.
 ORDERS = (3, 4, 5, 6)
 #: Hash buckets of each length.
 BUCKETS = 1 << 18
 #: N-grams that the linear model keeps.
 FEATURES = 1024
-#: Bytes of text in which one occurrence is density 1; shorter texts count as so long.
+#: Characters of text in which one occurrence is density 1; shorter texts count as so long.
 DENSE = 500
-#: Training rows of each class, at most, on which the weights are fitted.
+#: Distinct training rows of each class, at most, on which the weights are fitted.
 SAMPLE = 4000
+#: Training texts in which an n-gram occurs at least, if it is to be kept.
+RARE = 3
 #: Labelled rows up to which the labels are broadcast; beyond it they are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
-#: Bytes of a text that are worked off at once.
+#: Characters of a text that are worked off at once.
 CHUNK = 1 << 20
 
-_FOLD = np.arange(256, dtype=np.uint8)
-_FOLD[65:91] += 32
-_FOLD[[9, 10, 11, 12, 13]] = 32
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
+def _folded(part: str) -> np.ndarray:
+    """Code points, A-Z in lower case, white space as spaces."""
+    c = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), "<u4").copy()
+    c[(c >= 65) & (c <= 90)] += 32
+    c[(c >= 9) & (c <= 13)] = 32
+    return c
+
+
 def grams(text: str | None) -> Iterator[np.ndarray]:
-    """The hashed n-grams of a text with repeats, as bucket + number of the length * BUCKETS, in bounded chunks."""
-    raw = np.frombuffer(b" " + (text or "").encode() + b" ", np.uint8)
-    for at in range(0, len(raw), CHUNK):
-        b = _FOLD[raw[max(0, at - 2 * max(ORDERS)) : at + CHUNK]]
-        space = b == 32
-        b = b[~(space & np.r_[False, space[:-1]])].astype(np.uint64)
+    """The hashed n-grams of a text, each as often as it occurs, as bucket + number of the length * BUCKETS, in bounded chunks."""
+    text, longest = text or "", max(ORDERS)
+    before = np.array([32], np.uint32)  # up to longest - 1 characters of what has been worked off
+    seen = 0  # of these, how many are not new
+    for at in range(0, len(text) + 1, CHUNK):
+        part = _folded(text[at : at + CHUNK])
+        if at + CHUNK > len(text):
+            part = np.r_[part, np.uint32(32)]
+        space = part == 32
+        part = part[~(space & np.r_[before[-1] == 32, space[:-1]])]
+        b = np.concatenate([before, part]).astype(np.uint64)
         h = np.zeros(len(b), np.uint64)
-        for n in range(1, max(ORDERS) + 1):
+        for n in range(1, longest + 1):
             if len(b) < n:
                 break
             h = (h[: len(b) - n + 1] ^ b[n - 1 :]) * _MULTIPLIER
             h ^= h >> np.uint64(31)
             if n in ORDERS:
-                yield ((h * _MULTIPLIER) >> np.uint64(46)).astype(np.int32) + np.int32(ORDERS.index(n) * BUCKETS)
+                new = h[max(0, seen - n + 1) :]  # those that end in what is new
+                yield ((new * _MULTIPLIER) >> np.uint64(46)).astype(np.int32) + np.int32(ORDERS.index(n) * BUCKETS)
+        before = b[-(longest - 1) :].astype(np.uint32)
+        seen = len(before)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,10 +160,14 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, training: Column) -> Model:
-    """Learn from the labelled rows for which training (of doc_id) holds; with one class or none, a constant score."""
-    labels = labels.where(training)
-    rows = labelled(docs, labels)
-    counted = scratch(rows.select("text", F.when(F.col("toxic") > 0, 1).otherwise(0).alias("toxic")).mapInArrow(_count, "bucket int, pos bigint, neg bigint").groupBy("bucket").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")), "counts")
+    """Learn from the labelled rows for which training (of doc_id) holds; with one class or none, a constant score.
+
+    Null and empty texts count as texts without n-grams but one space; rows that agree in id and text are counted as often as they
+    occur and fitted once; of several labels of an id the highest counts. Ties in the choice of n-grams go to the lower bucket,
+    of rows to the lower hash. Empty tables give a constant score. Other columns of docs and labels are not read.
+    """
+    rows = labelled(docs, labels.where(training)).select("doc_id", "text", F.when(F.col("toxic") > 0, 1).otherwise(0).alias("toxic"))
+    counted = scratch(rows.select("text", "toxic").mapInArrow(_count, "bucket int, pos bigint, neg bigint").groupBy("bucket").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")), "counts")
     of = counted.where("bucket = -1").first()
     n1, n0 = (of.pos or 0, of.neg or 0) if of else (0, 0)
     if not n1 or not n0:
@@ -156,19 +175,20 @@ def train(docs: DataFrame, labels: DataFrame, training: Column) -> Model:
     a, b = F.col("pos").cast("double"), F.col("neg").cast("double")
     n = float(n1 + n0)
     chi = (a * (n0 - b) - b * (n1 - a)) ** 2 * n / ((a + b) * (n - a - b + 1) * float(n1) * float(n0))
-    kept = counted.where("bucket >= 0 and pos + neg >= 3").withColumn("chi", chi).orderBy(F.desc("chi"), "bucket").limit(FEATURES).collect()
+    kept = counted.where(f"bucket >= 0 and pos + neg >= {RARE}").withColumn("chi", chi).orderBy(F.desc("chi"), "bucket").limit(FEATURES).collect()
     kept.sort(key=lambda r: r.bucket)
     if not kept:
         return Model(np.empty(0, np.int64), np.empty(0), log((n1 + 0.5) / (n0 + 0.5)))
     pos, neg = (np.array([getattr(r, k) for r in kept], float) for k in ("pos", "neg"))
     ratio = np.log((pos + 1) / (n1 + 2)) - np.log((neg + 1) / (n0 + 2))
     bare = Model(np.array([r.bucket for r in kept]), np.zeros(len(kept)), 0.0)
-    known = labels.where("toxic is not null").groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"))
-    chosen = None
-    for side in (True, False):
-        part = known.where(F.col("toxic") == side).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-        chosen = part if chosen is None else chosen.union(part)
-    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.arrow_udf(_packed_values(bare), "binary")("text").alias("found"), "toxic").limit(4 * SAMPLE).collect()
+    keyed = rows.withColumn("key", F.xxhash64("doc_id", "text"))
+    keys = scratch(keyed.select("key", "toxic").distinct(), "keys")
+    # the last key of each class that is sampled; a key has one row, so both bounds hold however often rows repeat
+    last = [keys.where(F.col("toxic") == side).orderBy("key").limit(SAMPLE).agg(F.max("key")).first()[0] for side in (0, 1)]
+    chosen = keyed.where(F.col("key") <= F.when(F.col("toxic") == 1, F.lit(last[1])).otherwise(F.lit(last[0]))).select("key", "toxic", "text").dropDuplicates(["key"])
+    found = chosen.select(F.arrow_udf(_packed_values(bare), "binary")("text").alias("found"), "toxic", "key").collect()
+    found.sort(key=lambda r: r.key)
     x, y = np.zeros((len(found), len(kept))), np.array([r.toxic for r in found], float)
     for i, r in enumerate(found):
         v = np.frombuffer(r.found, _VALUE)

@@ -43,11 +43,84 @@ def test_forced_shuffle_join_gives_the_same_model(corpus, monkeypatch):
     assert np.array_equal(one.buckets, two.buckets) and np.allclose(one.weights, two.weights)
 
 
-def test_grams_in_chunks_are_those_of_the_whole(monkeypatch):
-    text = "".join(random.Random(1).choice("ab c\n") for _ in range(3000))
-    whole = set(np.concatenate(list(toxicity.grams(text))).tolist())
+def _plain_grams(text):
+    """Buckets of all n-grams of a text, one by one."""
+    import re
+
+    m, full = int(toxicity._MULTIPLIER), 2**64 - 1
+    chars = re.sub(r"[\t\n\x0b\f\r ]+", " ", f" {text or ''} ")
+    chars = [ord(c) + 32 * ("A" <= c <= "Z") for c in chars]
+    out = []
+    for k, n in enumerate(toxicity.ORDERS):
+        for i in range(len(chars) - n + 1):
+            h = 0
+            for c in chars[i : i + n]:
+                h = ((h ^ c) * m) & full
+                h ^= h >> 31
+            out.append((((h * m) & full) >> 46) + k * toxicity.BUCKETS)
+    return out
+
+
+@pytest.mark.parametrize("chunk", [1, 2, 5, 64, 100, 1 << 20])
+def test_grams_are_those_of_the_whole_once_each(monkeypatch, chunk):
+    monkeypatch.setattr(toxicity, "CHUNK", chunk)
+    rng = random.Random(1)
+    for text in (None, "", " ", "a", "ab", "\n a\tB  ", "日本語のテキスト é", *("".join(rng.choice("ab C\n\té🙂") for _ in range(n)) for n in (5, 64, 100, 128, 333))):
+        got = [int(x) for g in toxicity.grams(text) for x in g]
+        assert sorted(got) == sorted(_plain_grams(text))
+
+
+def test_a_long_text_scores_as_it_does_whole(corpus, monkeypatch):
+    docs, labels = corpus
+    model = toxicity.train(docs, labels, F.lit(True))
+    text = " ".join(["You vermin of the", "alpha"] * 2000)
+    whole = model.score(text)
     monkeypatch.setattr(toxicity, "CHUNK", 100)
-    assert whole <= set(np.concatenate(list(toxicity.grams(text))).tolist())
+    assert model.score(text) == whole
+
+
+def test_model_and_scores_by_brute_force(spark, corpus, monkeypatch):
+    monkeypatch.setattr(toxicity, "FEATURES", 60)
+    docs, labels = corpus
+    model = toxicity.train(docs, labels, F.lit(True))
+    label = {}
+    for r in labels.where("toxic is not null and doc_id is not null").collect():
+        label[r.doc_id] = max(r.toxic, label.get(r.doc_id, 0))
+    rows = [(r.doc_id, r.text, label[r.doc_id]) for r in docs.select("doc_id", "text").collect() if r.doc_id in label]
+    n = [sum(y == side for *_, y in rows) for side in (0, 1)]
+    counts = {}
+    for _, text, y in rows:
+        for g in set(_plain_grams(text)):
+            counts.setdefault(g, [0, 0])[y] += 1
+    total = n[0] + n[1]
+    chi = lambda b, a: (a * (n[0] - b) - b * (n[1] - a)) ** 2 * float(total) / ((a + b) * (total - a - b + 1) * float(n[1]) * float(n[0]))
+    best = sorted((-chi(*c), g) for g, c in counts.items() if sum(c) >= toxicity.RARE)[:60]
+    kept = sorted(g for _, g in best)
+    assert model.buckets.tolist() == kept
+    ratio = np.log([(counts[g][1] + 1) / (n[1] + 2) for g in kept]) - np.log([(counts[g][0] + 1) / (n[0] + 2) for g in kept])
+
+    def values(text):
+        all_ = _plain_grams(text)
+        return np.sqrt([all_.count(g) * toxicity.DENSE / max(len(all_) / len(toxicity.ORDERS), toxicity.DENSE) for g in kept])
+
+    distinct = sorted({(i, t): y for i, t, y in rows}.items(), key=str)
+    x, y = np.array([ratio * values(t) for (_, t), _ in distinct]), np.array([y for _, y in distinct], float)
+    # the penalised likelihood has one maximum: its gradient is 0 there
+    w = model.weights / ratio
+    bias = model.bias + np.log(y.sum() / (len(y) - y.sum())) - np.log(n[1] / n[0])
+    p = 1 / (1 + np.exp(-(x @ w + bias)))
+    assert np.abs(x.T @ (y - p) - w).max() < 1e-3 and abs((y - p).sum()) < 1e-3
+    for _, text, _ in rows[:20]:
+        z = float(values(text) @ (ratio * w)) + model.bias
+        assert abs(model.score(text) - 1 / (1 + np.exp(-z))) < 1e-9
+
+
+def test_rows_that_agree_are_fitted_once(spark, corpus):
+    docs, labels = corpus
+    label = labels.where("doc_id is not null and toxic is not null")
+    one = toxicity.train(docs, label, F.lit(True))
+    many = toxicity.train(docs, label.union(label), F.lit(True))
+    assert np.array_equal(one.buckets, many.buckets) and np.allclose(one.weights, many.weights) and one.bias == many.bias
 
 
 def test_one_class_or_no_labels(spark, corpus):
