@@ -50,9 +50,9 @@ def result_infolder(groups: DataFrame) -> dict:
 
 
 def nested_json(groups: DataFrame) -> DataFrame:
-    """(path_a, matches): each group's matches as JSON, for results that are written rather than collected."""
+    """(folder, id_a, path_a, matches): each group's matches as JSON in the order of ids, for results that are written rather than collected."""
     matches = F.array_sort(F.collect_list(F.struct("id_b", F.col("path_b").alias("path"), "mse")))
-    return groups.groupBy("id_a", "path_a").agg(F.to_json(F.transform(matches, lambda m: F.struct(m["path"].alias("path"), m["mse"].alias("mse")))).alias("matches"))
+    return groups.groupBy("folder", "id_a", "path_a").agg(F.to_json(F.transform(matches, lambda m: F.struct(m["path"].alias("path"), m["mse"].alias("mse")))).alias("matches"))
 
 
 def counts(groups: DataFrame, similarity: float = 0) -> DataFrame:

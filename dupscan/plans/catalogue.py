@@ -185,13 +185,14 @@ def mse_rotate_asymmetry(spark, sf_dir):
 
 @query(
     "WITH d AS (SELECT doc_id AS id, 100 + doc_id % 7 AS w, 100 + n_chars % 5 AS h FROM documents), k AS (SELECT id, least(w, h) AS lo, greatest(w, h) AS hi FROM d) "
-    "SELECT CAST(a.lo AS BIGINT) AS lo, CAST(a.hi AS BIGINT) AS hi, CAST(count(*) AS BIGINT) AS pairs FROM k a JOIN k b ON a.lo = b.lo AND a.hi = b.hi AND a.id < b.id GROUP BY 1, 2"
+    "SELECT CAST(a.lo AS INTEGER) AS lo, CAST(a.hi AS INTEGER) AS hi, CAST(count(*) AS BIGINT) AS pairs FROM k a JOIN k b ON a.lo = b.lo AND a.hi = b.hi AND a.id < b.id GROUP BY 1, 2"
 )
 def same_dim_gate(spark, sf_dir):
-    """Pairs that share their dimensions in either order."""
+    """Pairs that share their dimensions in either order, by the buckets that searches compare within."""
     w, h = 100 + F.col("doc_id") % 7, 100 + F.col("n_chars") % 5
-    rows = _read(spark, sf_dir, "documents").where("doc_id is not null and n_chars is not null").select(F.least(w, h).alias("lo"), F.greatest(w, h).alias("hi"))
-    return rows.groupBy("lo", "hi").agg(F.expr("count(*) * (count(*) - 1) div 2").alias("pairs")).where("pairs > 0")
+    rows = _read(spark, sf_dir, "documents").where("doc_id is not null and n_chars is not null")
+    images = rows.select(F.col("doc_id").alias("file_id"), F.lit(0).alias("group_id"), w.alias("width"), h.alias("height"), F.lit(b"").alias("tensor"), F.lit(0).alias("px_sum"))
+    return matching.bucketed(images, same_dim=True).groupBy("lo", "hi").agg(F.expr("count(*) * (count(*) - 1) div 2").alias("pairs")).where("pairs > 0")
 
 
 # ---- exact matches
@@ -249,6 +250,16 @@ def sum_bucket_last_id(spark, sf_dir):
     return matching.owners(as_images(planted(embedding_tensors(spark, sf_dir))), 0, algorithm="sum_bucket", compat_batch=True)
 
 
+@query(
+    f"WITH {_T}, s AS (SELECT id, t, CAST(list_sum(t) AS BIGINT) AS px_sum FROM t), {_R.format(of='t')}, m AS (SELECT a.id AS id_a, b.id AS id_b, "
+    f"CASE WHEN a.px_sum = (SELECT px_sum FROM s WHERE s.id = b.id) THEN 0 ELSE {_LEAST.format(a='a.t', b='b.t')} END AS mse FROM s a JOIN r b ON a.id < b.id) "
+    f"SELECT min(id_a) AS id_a, id_b, CAST(arg_min(mse, id_a) AS DOUBLE) AS mse FROM m WHERE mse <= {TURNED} GROUP BY id_b"
+)
+def sum_bucket_similar(spark, sf_dir):
+    """The algorithm by pixel sums above threshold 0: equal sums match whatever the pixels, others by their error."""
+    return matching.owners(as_images(embedding_tensors(spark, sf_dir)), TURNED, algorithm="sum_bucket")
+
+
 # ---- groups
 
 
@@ -309,10 +320,23 @@ def folder_label(spark, sf_dir):
     return grouping.folder_labels(document_images(document_files(spark, sf_dir)).withColumn("tensor", F.lit(b"")))
 
 
-@query()
+_NESTED = "to_json(list(struct_pack(path := b.path, mse := 0.0::DOUBLE) ORDER BY o.id_b))::VARCHAR AS matches FROM o JOIN d a ON a.id = o.id_a JOIN d b ON b.id = o.id_b"
+
+
+@query(f"{_owned_docs_sql(False)} SELECT o.id_a, a.path AS path_a, {_NESTED} GROUP BY o.id_a, a.path")
 def result_nested_json(spark, sf_dir):
     docs = document_files(spark, sf_dir)
-    return grouping.nested_json(grouping.named_groups(document_owners(docs), document_images(docs))).select("path_a", "matches")
+    return grouping.nested_json(grouping.named_groups(document_owners(docs), document_images(docs))).drop("folder")
+
+
+@query(
+    f"{_owned_docs_sql(True)}, f AS (SELECT grp, regexp_replace(arg_min(path, id), '/[^/]*$', '') AS folder FROM d GROUP BY grp) "
+    f"SELECT f.folder, o.id_a, a.path AS path_a, {_NESTED} JOIN f ON f.grp = a.grp GROUP BY f.folder, o.id_a, a.path"
+)
+def result_nested_json_in_folder(spark, sf_dir):
+    docs = document_files(spark, sf_dir)
+    images = document_images(docs).withColumn("tensor", F.lit(b""))
+    return grouping.nested_json(grouping.named_groups(document_owners(docs, True), images, in_folder=True))
 
 
 @query(

@@ -12,9 +12,11 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 # The extensions of image files.
 EXTENSIONS = (
-    "apng bw cdf cur dcx dds dib emf eps fli flc fpx ftex fits gd gd2 gif gbr icb icns iim ico im imt j2k jfif jfi jif jp2 jpe jpeg jpg jpm jpf jpx mic mpo msp nc pbm pcd pcx pgm "
-    "png ppm psd pixar ras rgb rgba sgi spi spider sun tga tif tiff vda vst wal webp xbm xpm"
-).split()
+    "apng", "bw", "cdf", "cur", "dcx", "dds", "dib", "emf", "eps", "fli", "flc", "fpx", "ftex", "fits", "gd", "gd2", "gif", "gbr", "icb", "icns",
+    "iim", "ico", "im", "imt", "j2k", "jfif", "jfi", "jif", "jp2", "jpe", "jpeg", "jpg", "jpm", "jpf", "jpx", "mic", "mpo", "msp", "nc", "pbm", "pcd",
+    "pcx", "pgm", "png", "ppm", "psd", "pixar", "ras", "rgb", "rgba", "sgi", "spi", "spider", "sun", "tga", "tif", "tiff", "vda", "vst", "wal",
+    "webp", "xbm", "xpm",
+)
 UNSUPPORTED = "Unsupported file type"
 _SCHEMA = "root_no int, root string, path string"
 
@@ -82,7 +84,7 @@ def extension(path: Column) -> Column:
 
 
 def is_image(path: Column) -> Column:
-    return extension(path).isin(EXTENSIONS)
+    return extension(path).isin(*EXTENSIONS)
 
 
 def numbered(rows: DataFrame, *order: str, name: str = "file_id") -> DataFrame:
