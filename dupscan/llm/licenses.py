@@ -196,9 +196,17 @@ def scan_texts(index: Index, texts: Iterator[str | None]) -> Iterator[list[tuple
     yield from index.scan(held)
 
 
-def scan(docs: DataFrame, templates: dict[str, str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def closest(found: list[tuple[str, int, int, float]]) -> list[tuple[str, int, int, float]]:
+    """Matches without those whose place, but for a fifth, another template matches better: versions of one notice."""
+    shared = lambda a, b: min(a[1] + a[2], b[1] + b[2]) - max(a[1], b[1])
+    return [m for m in found if not any(o[3] > m[3] and shared(m, o) >= 0.8 * max(m[2], o[2]) for o in found)]
+
+
+def scan(docs: DataFrame, templates: dict[str, str], id_col: str = "doc_id", text_col: str = "text", closest_only: bool = False) -> DataFrame:
     """(id, template, start_word, n_words, containment): a row for each match of a template in a text.
 
+    closest_only: of versions of one notice that match in one place, only the closest (several, if they are as close).
+
     Positions count words as scanned: runs of letters and digits. Null and empty texts have none; repeated rows give their
     matches as often as they occur; a template is matched wherever it occurs, also inside a longer one. Templates without
     words match nothing. Other columns of docs are not read.
@@ -207,7 +215,7 @@ def scan(docs: DataFrame, templates: dict[str, str], id_col: str = "doc_id", tex
 
     def matches(texts: pa.Array) -> pa.Array:
         index = index_of(chosen)
-        return pa.array([[dict(zip(("template", "start_word", "n_words", "containment"), m, strict=True)) for m in found] for found in scan_texts(index, (t.as_py() for t in texts))], kind)
+        return pa.array([[dict(zip(("template", "start_word", "n_words", "containment"), m, strict=True)) for m in (closest(found) if closest_only else found)] for found in scan_texts(index, (t.as_py() for t in texts))], kind)
 
     kind = pa.list_(pa.struct([("template", pa.string()), ("start_word", pa.int32()), ("n_words", pa.int32()), ("containment", pa.float64())]))
     schema = ArrayType(StructType([StructField("template", StringType()), StructField("start_word", IntegerType()), StructField("n_words", IntegerType()), StructField("containment", DoubleType())]))

@@ -42,6 +42,35 @@ def test_exact_copies_are_found_where_they_are(index):
         assert found[name][1:] == (before, len(L._words(text)), 1.0)
 
 
+def test_near_copies_are_found(index):
+    """Notices with some words changed, added and left out, inside other text, that still hold CONTAINMENT of their shingles."""
+    rng, tried, caught = random.Random(5), 0, 0
+    filler = lambda n: "".join(rng.choices("abcdefghij ", k=8 * n)).split()
+    for name, text in TEXTS.items():
+        own = set(L._shingles(L._words(text), L.SHINGLE).tolist())
+        for _ in range(12 if len(own) >= 12 else 0):
+            words = text.split()
+            for _ in range(rng.randint(1, max(1, len(words) // 25))):
+                k = rng.randrange(len(words))
+                words[k : k + rng.randint(0, 1)] = rng.choice([["changed"], []])
+            near = L._words(" ".join(words))
+            if len(own & set(L._shingles(near, L.SHINGLE).tolist())) < L.CONTAINMENT * len(own):
+                continue
+            tried += 1
+            caught += name in {m[0] for m in index.scan([L._words(" ".join([*filler(30), *words, *filler(30)]))])[0]}
+    assert tried > 150 and caught >= 0.99 * tried
+
+
+def test_versions_of_a_notice_are_kept_apart(index):
+    for name, text in TEXTS.items():
+        found = L.closest(index.scan([L._words(f"some words before it, {text} and some behind")])[0])
+        assert name in {m[0] for m in found}
+        if "notice" in name:
+            assert {TEMPLATES[m[0]][0] for m in found} == {TEMPLATES[name][0]}
+        if name.startswith("tag-"):
+            assert {TEMPLATES[m[0]][0] for m in found} == {TEMPLATES[name][0]}
+
+
 def test_as_brute_force(index):
     rng = random.Random(2)
     names = list(TEXTS)
