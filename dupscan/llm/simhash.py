@@ -166,6 +166,15 @@ def hamming_links(distinct: DataFrame, fp: str = "fp", n: int | None = None) ->
     return met.repartition(*group).sortWithinPartitions(*group).mapInArrow(_bucket_links, "a bigint, b bigint")
 
 
+def components(marked: DataFrame) -> DataFrame:
+    """(fp, component_id) of fingerprints as of near_duplicates; marked: rows (doc_id, fp), fp the fingerprint."""
+    distinct = scratch(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
+    parts = scratch(connected_components(hamming_links(distinct)).select(F.col("node").alias("fp"), "component"), "parts")
+    firsts = scratch(distinct.join(parts, "fp").groupBy("component").agg(F.min("first").alias("lowest")), "firsts")
+    named = parts.join(firsts, "component").select("fp", "lowest")
+    return scratch(distinct.join(named, "fp", "left").select("fp", F.coalesce("lowest", "first").alias("component_id")), "labels")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: (id, fp, component_id).
 
@@ -175,10 +184,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     read. An empty table gives an empty result.
     """
     marked = scratch(docs.select(F.col(id_col).alias("doc_id"), simhash64(F.col(text_col)).alias("fp")), "fp")
-    distinct = scratch(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    parts = scratch(connected_components(hamming_links(distinct)).select(F.col("node").alias("fp"), "component"), "parts")
-    firsts = scratch(distinct.join(parts, "fp").groupBy("component").agg(F.min("first").alias("lowest")), "firsts")
-    named = parts.join(firsts, "component").select("fp", "lowest")
-    labels = scratch(distinct.join(named, "fp", "left").select("fp", F.coalesce("lowest", "first").alias("component_id")), "labels")
-    out = marked.join(labels, "fp")
+    out = marked.join(components(marked), "fp")
     return out.select(F.col("doc_id").alias(id_col), "fp", "component_id")

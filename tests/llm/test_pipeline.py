@@ -88,6 +88,23 @@ def test_stages_one_by_one(spark, tables, tmp_path):
         assert r.n_tokens == len(r.ids) and r.decoded_sha256 == hashlib.sha256(before[r.doc_id].text.encode()).hexdigest()
 
 
+def test_extra_columns_and_a_long_text(spark, tables, tmp_path):
+    from pyspark.sql import functions as F
+
+    where, rows = tables
+    rng = random.Random(3)
+    long = _text(rng, 40_000)
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    docs = spark.createDataFrame([*rows[:12], (900, long, "en", "src1", 0), (901, None, None, None, None)], schema)
+    clash = ("fp", "_fp", "component_id", "size", "copies", "_copy", "target", "kept", "n_words", "log_ratio", "cut_words", "_node", "c_node", "ids", "packed", "decoded", "n_tokens", "_words")
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs.withColumns({c: F.lit("x") for c in clash}), where).write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+        assert name == "encode_texts" or docs.columns == list(corpus_pipeline.COLUMNS)
+        if k < 3:
+            assert [r.text for r in docs.where("doc_id = 900").collect()] == [long]
+
+
 def test_run_is_the_stages(spark, tables):
     where, _ = tables
     rows = corpus_pipeline.run(spark, where).collect()
