@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import warnings
 from dataclasses import dataclass, field
 from datetime import datetime
 from functools import cached_property
@@ -50,14 +51,17 @@ def with_dim_key(images: DataFrame) -> DataFrame:
     return images.withColumn("dim_key", F.struct(F.least("width", "height").alias("lo"), F.greatest("width", "height").alias("hi")))
 
 
-def build(spark: SparkSession, *directory, recursive=True, in_folder=False, limit_extensions=True, px_size=50, show_progress=True, processes=os.cpu_count(), **other) -> ImageRepo:
+def build(spark: SparkSession, *directory, recursive=True, in_folder=False, limit_extensions=True, px_size=50, show_progress=True, processes=os.cpu_count(), logs=True, **other) -> ImageRepo:
     """List the image files below the directories and decode them to px_size x px_size tensors.
 
     directory: strings, or lists of strings, of folders or files. recursive: look into subfolders. in_folder: a group for each
     directory, within which searches stay. limit_extensions: leave out files without an image extension. processes:
-    a hint for the number of partitions. Files that can't be decoded have their reason in invalid.
+    a hint for the number of partitions. Files that can't be decoded have their reason in invalid, and with logs in the statistics
+    too, which the driver holds: without, these have their number alone.
     """
     params = BuildParams.of(directory, recursive, in_folder, limit_extensions, px_size, show_progress, processes, other)
+    if not params.limit_extensions:
+        warnings.warn("without limit_extensions, formats that are not known to be images may be listed, decoded and matched wrongly", stacklevel=2)
     start = datetime.now()
     _progress(show_progress, 0, 3, "build")
     files, skipped = listing.listing(spark, params.directory, params.recursive, params.in_folder, params.limit_extensions)
@@ -66,14 +70,14 @@ def build(spark: SparkSession, *directory, recursive=True, in_folder=False, limi
     by_jvm = F.lit(decode.Image is None) & F.col("ext").isin(*decode.JVM_EXTENSIONS)
     images = decode.decode_files(files.where(~by_jvm), params.px_size)
     if decode.Image is None and not files.where(by_jvm).isEmpty():
-        images = images.unionByName(decode.decode_in_jvm(spark, files.where(by_jvm), params.directory, params.px_size))
+        images = images.unionByName(decode.decode_in_jvm(spark, files.where(by_jvm), params.directory, params.px_size, params.recursive))
     images = with_dim_key(images).persist()
     failed = images.where("tensor is null").select("path", F.col("decode_error").alias("reason"))
     invalid = failed.unionByName(skipped).groupBy("path").agg(F.min("reason").alias("reason"))
     decoded = images.where("tensor is not null").count()
     _progress(show_progress, 2, 3, "build")
-    logs = {r.path: r.reason for r in invalid.orderBy("path").toLocalIterator()}
-    report = stats.build_stats(params, start, datetime.now(), decoded, logs)
+    reasons = {r.path: r.reason for r in invalid.orderBy("path").toLocalIterator()} if logs else {}
+    report = stats.build_stats(params, start, datetime.now(), decoded, reasons, len(reasons) if logs else invalid.count())
     _progress(show_progress, 3, 3, "build")
     return ImageRepo(spark, images, invalid, report, params.in_folder)
 

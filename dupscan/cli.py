@@ -10,6 +10,7 @@ from datetime import datetime
 from pyspark.sql import SparkSession
 
 from dupscan.api import build, search
+from dupscan.operators import grouping
 from dupscan.params import ParameterError, check_keywords
 
 _TRUE, _FALSE = {"yes", "true", "t", "y", "1"}, {"no", "false", "f", "n", "0"}
@@ -64,9 +65,12 @@ def main(words: list[str] | None = None, spark: SparkSession | None = None) -> l
     found = search(repo, similarity=args.similarity, rotate=args.rotate, same_dim=args.same_dim, show_progress=args.show_progress, processes=args.processes, chunksize=args.chunksize)
     stamp = datetime.now().strftime("%Y%m%d%H%M%S")
     written = [os.path.join(folder, f"dupscan_{stamp}_{name}") for name in ("results.json", "lower_quality.txt", "stats.json")]
-    for path, content in zip(written, (json.dumps(found.result), "".join(f"{x}\n" for x in found.lower_quality), json.dumps(found.stats)), strict=True):
-        with open(path, "w", encoding="utf-8") as f:
-            f.write(content)
+    with open(written[0], "w", encoding="utf-8") as f:
+        grouping.write_json(found.groups, found.in_folder, f)
+    with open(written[1], "w", encoding="utf-8") as f:
+        f.writelines(f"{r.path}\n" for r in found.lower_quality_files.orderBy("path").toLocalIterator())
+    with open(written[2], "w", encoding="utf-8") as f:
+        json.dump(found.stats, f)
     if args.move_to is not None:
         found.move_to(args.move_to)
     if args.delete:

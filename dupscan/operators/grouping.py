@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from typing import TextIO
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,6 +52,23 @@ def result_infolder(groups: DataFrame) -> dict:
     return out
 
 
+def write_json(groups: DataFrame, in_folder: bool, out: TextIO) -> None:
+    """The same nested dictionaries as JSON text; the driver holds one group at a time."""
+    keys, last = (["folder"] if in_folder else []) + ["id_a"], None
+    out.write("{")
+    for r in groups.orderBy(*keys, "id_b").toLocalIterator():
+        now = (r.folder if in_folder else None, r.id_a)
+        if in_folder and (last is None or last[0] != now[0]):
+            out.write(("]}, " if last else "") + json.dumps(now[0]) + ": {" + json.dumps(r.path_a) + ": [")
+        elif last != now:
+            out.write(("], " if last else "") + json.dumps(r.path_a) + ": [")
+        else:
+            out.write(", ")
+        out.write(json.dumps([r.path_b, r.mse]))
+        last = now
+    out.write(("]" if last else "") + ("}" if last and in_folder else "") + "}")
+
+
 def nested_json(groups: DataFrame) -> DataFrame:
     """(folder, id_a, path_a, matches): each group's matches as JSON in the order of ids, for results that are written rather than collected."""
     matches = F.array_sort(F.collect_list(F.struct("id_b", F.col("path_b").alias("path"), "mse")))

@@ -7,6 +7,7 @@ GIF, TIFF, WBMP) by Spark's image source. Everything else is reported as undecod
 from __future__ import annotations
 
 import io
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -227,9 +228,18 @@ def decode_files(files: DataFrame, px: int) -> DataFrame:
     return files.mapInArrow(run, SCHEMA)
 
 
-def decode_in_jvm(spark: SparkSession, files: DataFrame, roots: list[str], px: int) -> DataFrame:
-    """decode_files by Spark's image source, for the files that it finds below the roots (names that begin with _ aren't)."""
-    raw = spark.read.format("image").option("dropInvalid", False).option("recursiveFileLookup", True).load(roots).select("image.*")
+def _either_case(extension: str) -> str:
+    return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in extension)
+
+
+def decode_in_jvm(spark: SparkSession, files: DataFrame, roots: list[str], px: int, recursive: bool = True) -> DataFrame:
+    """decode_files by Spark's image source, for the files that it finds below the roots (names that begin with _ aren't).
+
+    Only files of JVM_EXTENSIONS are read, and subfolders if the listing had them. Roots are taken literally.
+    """
+    glob = "*.{" + ",".join(map(_either_case, JVM_EXTENSIONS)) + "}"
+    literal = [re.sub(r"([\\*?\[\]{}])", r"\\\1", x) for x in roots]
+    raw = spark.read.format("image").option("dropInvalid", False).option("recursiveFileLookup", recursive).option("pathGlobFilter", glob).load(literal).select("image.*")
     plain = F.url_decode(F.regexp_replace(F.regexp_replace("origin", "^file:(//)?", ""), r"\+", "%2B"))
     met = files.join(raw.select(plain.alias("_path"), F.col("height").alias("_h"), F.col("width").alias("_w"), F.col("nChannels").alias("_n"), "data"), F.col("path") == F.col("_path"), "left").drop("_path")
 

@@ -172,5 +172,34 @@ def test_jvm_decoder(spark, tree):
     """A format that is left to the JVM: a GIF of one colour."""
     gif = b"GIF89a\x02\x00\x02\x00\x80\x00\x00\x0a\x14\x1e\xff\xff\xff,\x00\x00\x00\x00\x02\x00\x02\x00\x00\x02\x02\x84Q\x00;"
     (tree / "y/g+ %20.gif").write_bytes(gif)
-    row = {os.path.basename(r.path): r for r in _build(spark, tree / "y").images.collect()}["g+ %20.gif"]
-    assert (row.width, row.height, bytes(row.tensor)) == (2, 2, bytes([10, 20, 30]) * PX * PX)
+    (tree / "x/[b]/h.GIF").write_bytes(gif)
+    for root, name in (("y", "g+ %20.gif"), ("x/[b]", "h.GIF")):
+        row = {os.path.basename(r.path): r for r in _build(spark, tree / root, recursive=False).images.collect()}[name]
+        assert (row.width, row.height, bytes(row.tensor)) == (2, 2, bytes([10, 20, 30]) * PX * PX)
+
+
+def test_without_logs_and_with_all_files(spark, tree):
+    with pytest.warns(UserWarning, match="limit_extensions"):
+        _build(spark, tree / "y", limit_extensions=False)
+    bare = _build(spark, tree, logs=False).stats
+    assert bare["invalid_files"] == {"count": 2, "logs": {}} and bare["total_files"] == 8
+
+
+def test_written_results_are_the_dictionaries(spark, tree):
+    import io
+
+    from dupscan.operators import grouping
+
+    for in_folder in (False, True):
+        found = api.search(_build(spark, tree / "x", tree / "y", in_folder=in_folder), "similar", show_progress=False, processes=1)
+        for groups in (found.groups, found.groups.where("false")):
+            out = io.StringIO()
+            grouping.write_json(groups, in_folder, out)
+            want = grouping.result_infolder(groups) if in_folder else grouping.result_union(groups)
+            assert json.loads(out.getvalue()) == want
+
+
+def test_effective_chunksize():
+    from dupscan.operators.stats import effective_chunksize
+
+    assert [effective_chunksize(*x) for x in ((None, 10), (7, 10), (None, 10_000), (None, 3_000_000), (7, 10_000))] == [None, 7, 100, 1, 7]
