@@ -14,7 +14,8 @@
 5. The rest. A seed's first may be a document that has the seed but not the passage. Around seed occurrences outside all
    passages found so far, documents are matched again by longer keys, each with the first document that has the key: all
    windows of MIN_WORDS words, whose first is sure to have a passage, and pairs of seeds NEAR to FAR words apart, which may
-   lie on both sides of an edit. Then steps 3 and 4 as before.
+   lie on both sides of an edit. Then steps 3 and 4 as before. What lies within a run of equal words is also in the document of
+   smaller key that the run leads to, so keys there are left out: copies have none.
 
 So of a stretch of MIN_WORDS or more successive words that documents share, all but the first have passages that cover it, but for at
 most SEED words at either end: where all of its seeds lie in passages it is not matched again, and seeds leave no more than
@@ -45,7 +46,7 @@ NEAR, FAR = 20, 64
 #: Words of the longest period at which text counts as periodic.
 PERIOD = 16
 #: Words of a stretch, and beyond it on either side.
-CORE, MARGIN = 1024, 64
+CORE, MARGIN = 1024, 80
 #: Cost of a word of a gap, in words of seeds.
 GAP = 0.1
 #: Words that an edit may leave out or put in, and equal words that end it.
@@ -111,17 +112,22 @@ def _seed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(nodes)), pa.array(np.concatenate(places).astype(np.int32))], ["key", "node", "pos"])
 
 
-def long_keys(words: np.ndarray, keys: np.ndarray, at: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def long_keys(words: np.ndarray, keys: np.ndarray, at: np.ndarray, state: np.ndarray, exact: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(keys, positions, spans, open) of the windows of MIN_WORDS words and the pairs of seeds of a text.
 
     keys, at (ascending) and state are of its seeds that other texts have too; state is 0 for those whose occurrences all lie in
     passages already, OPEN where this one doesn't, else in between. Only what holds a seed above 0 has a key. A span leads to the
-    last seed's place. Of equal windows that overlap (periodic text), the first and the last stay.
+    last seed's place. What lies in one of the exact stretches (start, end), sorted, has no key. Of equal windows that overlap
+    (periodic text), the first and the last stay.
     """
+    begins, ends = exact[:, 0], np.maximum.accumulate(exact[:, 1])
     low, high = np.searchsorted(at, at + NEAR), np.searchsorted(at, at + FAR, "right")
     i = np.repeat(np.arange(len(at)), high - low)
     j = np.arange(len(i)) - np.repeat(np.cumsum(high - low) - (high - low), high - low) + np.repeat(low, high - low)
     some = np.maximum(state[i], state[j]) > 0
+    if len(exact):
+        before = np.searchsorted(begins, at[i], "right") - 1
+        some &= (before < 0) | (ends[before] < at[j] + SEED)
     i, j = i[some], j[some]
     h = (keys[i] ^ np.uint64(SEED)) * _MULTIPLIER
     h ^= h >> np.uint64(29)
@@ -132,7 +138,7 @@ def long_keys(words: np.ndarray, keys: np.ndarray, at: np.ndarray, state: np.nda
     # a window has seeds at most WINDOW words apart, the outer ones at most WINDOW - 1 from where a seed can begin and end
     runs = np.split(np.arange(len(at)), np.flatnonzero(np.diff(at) > WINDOW) + 1)
     reach = MIN_WORDS - SEED
-    shared, near, open_ = (np.zeros(last + 2, np.int64) for _ in range(3))
+    shared, near, open_, held = (np.zeros(last + 2, np.int64) for _ in range(4))
 
     def add(to: np.ndarray, begin: np.ndarray, end: np.ndarray) -> None:
         begin, end = np.clip(begin, 0, last + 1), np.clip(end + 1, 0, last + 1)
@@ -142,7 +148,8 @@ def long_keys(words: np.ndarray, keys: np.ndarray, at: np.ndarray, state: np.nda
     add(shared, np.array([at[r[0]] for r in runs]) - (WINDOW - 1), np.array([at[r[-1]] for r in runs]) - reach + WINDOW - 1)
     for to, least in ((near, 1), (open_, OPEN)):
         add(to, at[state >= least] - reach, at[state >= least])
-    start = np.flatnonzero((np.cumsum(shared)[:-1] > 0) & (np.cumsum(near)[:-1] > 0))
+    add(held, exact[:, 0], exact[:, 1] - MIN_WORDS)
+    start = np.flatnonzero((np.cumsum(shared)[:-1] > 0) & (np.cumsum(near)[:-1] > 0) & (np.cumsum(held)[:-1] == 0))
     if not len(start):
         return pairs
     own = np.cumsum(open_)[start] > 0
@@ -153,10 +160,9 @@ def long_keys(words: np.ndarray, keys: np.ndarray, at: np.ndarray, state: np.nda
     order = np.lexsort((start, h))
     h, start, own = h[order], start[order], own[order]
     new = np.r_[True, (h[1:] != h[:-1]) | (start[1:] - start[:-1] >= MIN_WORDS)]
-    begins = np.flatnonzero(new)
-    own = np.logical_or.reduceat(own, begins)[np.cumsum(new) - 1]
-    ends = new | np.r_[new[1:], True]
-    windows = h[ends], start[ends], np.full(int(ends.sum()), reach), own[ends]
+    own = np.logical_or.reduceat(own, np.flatnonzero(new))[np.cumsum(new) - 1]
+    outer = new | np.r_[new[1:], True]
+    windows = h[outer], start[outer], np.full(int(outer.sum()), reach), own[outer]
     return tuple(np.concatenate(x) for x in zip(pairs, windows, strict=True))
 
 
@@ -186,12 +192,13 @@ OPEN = 2
 
 
 def _long_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, text, seeds) -> (key, node, pos, span, open); pos is ~pos where the key has occurred in the text before."""
+    """(node, text, seeds, exact) -> (key, node, pos, span, open); pos is ~pos where the key has occurred in the text before."""
     names = ["key", "node", "pos", "span", "open"]
     for batch in batches:
-        for node, text, packed in zip(*(batch.column(c).to_pylist() for c in ("node", "text", "seeds")), strict=True):
+        for node, text, packed, exact in zip(*(batch.column(c).to_pylist() for c in ("node", "text", "seeds", "exact")), strict=True):
             row = np.frombuffer(packed, _SHARED)
-            key, pos, span, own = long_keys(word_hashes(text), row["key"].astype(np.int64).view(np.uint64), row["pos"].astype(np.int64), row["state"])
+            spans = np.array(sorted((x["s"], x["e"]) for x in exact or ()), np.int64).reshape(-1, 2)
+            key, pos, span, own = long_keys(word_hashes(text), row["key"].astype(np.int64).view(np.uint64), row["pos"].astype(np.int64), row["state"], spans)
             order = np.lexsort((pos, key))
             key, pos, span, own = key[order], pos[order], span[order], own[order]
             pos = np.where(np.r_[True, key[1:] != key[:-1]][: len(key)], pos, ~pos)
@@ -389,12 +396,17 @@ def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch()
 
 
+#: Instead of a similarity: marks a run of equal words.
+EXACT = 2.0
 _PASSAGE = ("c_node", "c_start", "c_end", "a_node", "a_start", "a_end", "similarity")
 _PASSAGE_TYPES = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.float64())
 
 
 def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (link, side): both stretches of a pair -> its passages, in words of the documents."""
+    """Rows sorted by (link, side): both stretches of a pair -> its passages, in words of the documents.
+
+    Runs of MIN_WORDS equal words are rows of their own, of similarity EXACT; those that begin or end the text go beyond it.
+    """
     out: list[list] = [[] for _ in _PASSAGE]
     for group in _groups(batches, ("link",)):
         # rows that agree in id and text bring the same stretch more than once
@@ -412,7 +424,14 @@ def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at += 1 + 2 * n
             if all(covered[x : x + SEED].all() for x, _ in anchors):  # a better chain has made a passage there
                 continue
-            for p, q, r, s, found in passages(align(c, a, anchors)):
+            runs = align(c, a, anchors)
+            ends_text = len(c) < (first["seg"] + 1) * CORE + MARGIN - c_at
+            for x, y, k in runs:
+                if k >= MIN_WORDS:
+                    begin, end = x + c_at - 2 * FAR * (x + c_at == 0), x + k + c_at + 2 * FAR * (ends_text and x + k == len(c))
+                    for o, v in zip(out, (first["node"], begin, end, second["node"], y + a_at, y + k + a_at, EXACT), strict=True):
+                        o.append(v)
+            for p, q, r, s, found in passages(runs):
                 covered[p:q] = True
                 row = (first["node"], p + c_at, q + c_at, second["node"], r + a_at, s + a_at, found)
                 for o, v in zip(out, row, strict=True):
@@ -480,7 +499,7 @@ def find_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     more = _verified(docs, texts.select("node", "text"), matches)
     for x in (texts, matches):
         drop_scratch(x)
-    merged = parts.union(more).repartition("c_node", "a_node").sortWithinPartitions("c_node", "a_node", "c_start", "a_start").mapInArrow(_merged, _SCHEMA)
+    merged = parts.union(more).where(F.col("similarity") < EXACT).repartition("c_node", "a_node").sortWithinPartitions("c_node", "a_node", "c_start", "a_start").mapInArrow(_merged, _SCHEMA)
     out = scratch(merged, "passages")
     for x in (parts, more):
         drop_scratch(x)
@@ -519,19 +538,24 @@ def _verified(docs: DataFrame, rows: DataFrame, matches: DataFrame) -> DataFrame
 
 
 def _open_texts(rows: DataFrame, shared: DataFrame, parts: DataFrame) -> DataFrame:
-    """(node, text, seeds) of the texts (rows) whose shared seeds have long keys to be matched again; parts: the passages so far."""
-    spans = parts.groupBy("c_node").agg(F.collect_set(F.struct(F.col("c_start").alias("s"), F.col("c_end").alias("e"))).alias("spans"))
-    inside = F.exists("spans", lambda x: (F.col("pos") >= x["s"]) & (F.col("pos") + SEED <= x["e"]))
-    flagged = shared.join(spans, F.col("node") == F.col("c_node"), "left").select("key", "node", "pos", ((F.col("node") != F.col("a_node")) & ~F.coalesce(inside, F.lit(False))).alias("open"))
-    flagged = scratch(flagged, "flagged")
+    """(node, text, seeds, exact) of the texts (rows) whose shared seeds have long keys to be matched again; parts: the passages so far."""
+    of = F.struct(F.col("c_start").alias("s"), F.col("c_end").alias("e"))
+    spans = parts.groupBy("c_node").agg(F.collect_set(F.when(F.col("similarity") < EXACT, of)).alias("spans"), F.collect_set(F.when(F.col("similarity") >= EXACT, of)).alias("exact"))
+    spans = scratch(spans, "spans")
+    within = lambda spans, before, after: F.coalesce(F.exists(spans, lambda x: (F.col("pos") - before >= x["s"]) & (F.col("pos") + after <= x["e"])), F.lit(False))
+    # no key reaches out of a run from so deep inside
+    flagged = shared.join(spans, F.col("node") == F.col("c_node"), "left").where(~within("exact", FAR, FAR + SEED))
+    flagged = scratch(flagged.select("key", "node", "pos", ((F.col("node") != F.col("a_node")) & ~within("spans", 0, SEED)).alias("open")), "flagged")
+    free_shuffles(rows)
     keys = scratch(flagged.where("open").select(F.col("key").alias("k")).distinct(), "keys")
     state = F.when(F.col("open"), OPEN).when(F.col("k").isNotNull(), 1).otherwise(0).cast("tinyint")
     some = flagged.join(keys, F.col("key") == F.col("k"), "left").select("node", "key", "pos", state.alias("state"))
-    found = scratch(some.repartition("node").sortWithinPartitions("node", "pos").mapInArrow(_candidates, "node bigint, seeds binary"), "candidates")
-    for x in (flagged, keys):
+    found = some.repartition("node").sortWithinPartitions("node", "pos").mapInArrow(_candidates, "node bigint, seeds binary")
+    found = scratch(found.join(spans.select("c_node", "exact"), F.col("node") == F.col("c_node"), "left").select("node", "seeds", "exact"), "candidates")
+    for x in (flagged, keys, spans):
         drop_scratch(x)
     free_shuffles(rows)
-    out = scratch(rows.join(found, "node").select("node", "text", "seeds"), "open")
+    out = scratch(rows.join(found, "node").select("node", "text", "seeds", "exact"), "open")
     drop_scratch(found)
     free_shuffles(rows)
     return out

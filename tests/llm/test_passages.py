@@ -138,7 +138,10 @@ def test_chain_without_a_passage_hides_no_other():
     flat = [5, *(x for k in range(5) for x in (20 * k + 2, 20 * k + 2)), 1, 25, 165]
     rows = [{"link": 0, "side": 0, "node": 2, "seg": 0, "words": c.tobytes(), "chains": np.array(flat, np.int32).tobytes()}, {"link": 0, "side": 1, "node": 1, "seg": 0, "words": a.tobytes(), "chains": None}]
     found = list(P._aligned(iter([pa.RecordBatch.from_pylist(rows, pa.schema({"link": pa.int64(), "side": pa.int32(), "node": pa.int64(), "seg": pa.int32(), "words": pa.binary(), "chains": pa.binary()}))])))
-    assert [tuple(r.values())[1:6] for b in found for r in b.to_pylist()] == [(0, 100, 1, 140, 240)]
+    got = [tuple(r.values()) for b in found for r in b.to_pylist()]
+    assert [r[1:6] for r in got if r[6] < P.EXACT] == [(0, 100, 1, 140, 240)]
+    # the run is the whole text, so it goes beyond both ends
+    assert [r[1:6] for r in got if r[6] == P.EXACT] == [(-2 * P.FAR, 100 + 2 * P.FAR, 1, 140, 240)]
 
 
 def test_fifty_words_have_seeds_far_enough_apart():
@@ -154,16 +157,21 @@ def test_long_keys_are_all_windows():
     text = _words(rng, 300)
     words = P.word_hashes(" ".join(text))
     keys, at = P.seeds(words)
-    got = P.long_keys(words, keys, at, np.full(len(at), P.OPEN))
+    none = np.empty((0, 2), np.int64)
+    got = P.long_keys(words, keys, at, np.full(len(at), P.OPEN), none)
     windows = {int(p): bool(o) for p, s, o in zip(got[1], got[2], got[3], strict=True) if s == P.MIN_WORDS - P.SEED and o}
     assert set(range(300 - P.MIN_WORDS + 1)) <= set(windows)
     only = np.where(np.arange(len(at)) == len(at) // 2, 1, 0)
-    some = P.long_keys(words, keys, at, only)
-    assert 0 < len(some[0]) < len(got[0]) and not some[3].any() and not len(P.long_keys(words, keys, at, only * 0)[0])
+    some = P.long_keys(words, keys, at, only, none)
+    assert 0 < len(some[0]) < len(got[0]) and not some[3].any() and not len(P.long_keys(words, keys, at, only * 0, none)[0])
+    # what lies in an exact stretch has none
+    outside = P.long_keys(words, keys, at, np.full(len(at), P.OPEN), np.array([[20, 90], [100, 220]]))
+    key = lambda x: {(int(p), int(n)) for p, n in zip(x[1], x[2], strict=True)}
+    assert key(outside) == {(p, n) for p, n in key(got) if not any(s <= p and p + n + P.SEED <= e for s, e in ((20, 90), (100, 220)))}
     # keys depend on the words alone
     more = P.word_hashes(" ".join(_words(rng, 31) + text[40:150]))
     k2, a2 = P.seeds(more)
-    assert len(set(got[0].tolist()) & set(P.long_keys(more, k2, a2, np.full(len(a2), 1))[0].tolist())) >= 110 - P.MIN_WORDS + 1
+    assert len(set(got[0].tolist()) & set(P.long_keys(more, k2, a2, np.full(len(a2), 1), none)[0].tolist())) >= 110 - P.MIN_WORDS + 1
 
 
 def _uncovered(texts, found, nodes):
