@@ -26,7 +26,9 @@ from dupscan.functions.tensors import nibbles, rot90, true_cost, wrapped_cost
 
 #: Images of a tile, and of a part of it that is compared at once; bytes of the tensors of a tile, which for large ones
 #: makes it smaller.
-TILE, PART, TILE_BYTES = 1024, 64, 64 << 20
+TILE, PART, TILE_BYTES = 2048, 64, 64 << 20
+#: Bytes of tensors that are compared before pairs that are over the threshold already are left.
+CUT = 512
 #: Quarter turns of the later image that are tried: as in the original semantics, and as documented.
 TURNS = (0, 1, 2)
 ALL_TURNS = (0, 1, 2, 3)
@@ -93,24 +95,53 @@ def exact_pairs(images: DataFrame, turns: tuple[int, ...] = TURNS, same_dim: boo
     return found.select("id_a", "id_b").distinct().withColumn("mse", F.lit(0.0))
 
 
+def close_pairs(a: np.ndarray, turned: list[np.ndarray], threshold: float, metric: str = "wrapped") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, mean cost) of the pairs of rows of a and b within the threshold, in order; turned: b at each turn that is tried.
+
+    Costs only grow as more bytes are compared, so a pair is left once it is over.
+    """
+    cost, size = wrapped_cost if metric == "wrapped" else true_cost, a.shape[1]
+    found = []
+    for b in turned:
+        part = cost(a[:, :CUT], b[:, :CUT])
+        i, j = np.nonzero(part / size <= threshold)
+        total = part[i, j]
+        for at in range(CUT, size, CUT):
+            if not len(i):
+                break
+            for k in range(0, len(i), 1 << 14):
+                x, y = a[i[k : k + (1 << 14)], at : at + CUT], b[j[k : k + (1 << 14)], at : at + CUT]
+                d = x - y if metric == "wrapped" else x.astype(np.int32) - y
+                total[k : k + (1 << 14)] += (d * d).sum(1, dtype=np.int64)
+            keep = total / size <= threshold
+            i, j, total = i[keep], j[keep], total[keep]
+        found.append((i, j, total))
+    i, j, total = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.lexsort((total, j, i))
+    i, j, total = i[order], j[order], total[order]
+    first = np.r_[True, (i[1:] != i[:-1]) | (j[1:] != j[:-1])][: len(i)]
+    return i[first], j[first], total[first] / size
+
+
 def _kernel(threshold: float, turns: tuple[int, ...], metric: str, owners: bool, sums: bool):
     """Rows sorted by meeting (group_id, lo, hi, low, high): compares them; yields pairs, or an owner an image."""
-    cost = wrapped_cost if metric == "wrapped" else true_cost
     keys = (*_BUCKET, "low", "high")
 
-    def costs(a: np.ndarray, turned: list[np.ndarray], s_a: np.ndarray, s_b: np.ndarray) -> np.ndarray:
-        out = cost(a, turned[0])
-        for t in turned[1:]:
-            out = np.minimum(out, cost(a, t))
+    def close(a: np.ndarray, turned: list[np.ndarray], s_a: np.ndarray, s_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        x, y, m = close_pairs(a, turned, threshold, metric)
         if sums:
-            out[s_a[:, None] == s_b[None]] = 0
-        return out
+            equal = s_a[:, None] == s_b[None]
+            m = np.where(equal[x, y], 0.0, m)
+            equal[x, y] = False
+            u, v = np.nonzero(equal)
+            x, y, m = np.r_[x, u], np.r_[y, v], np.r_[m, np.zeros(len(u))]
+        return x, y, m
 
     def meeting(rows: pa.Table) -> pa.RecordBatch:
         rows = rows.sort_by("file_id")
         ids, own, px_sum = (rows.column(c).to_numpy() for c in ("file_id", "own", "px_sum"))
         t = _stack(rows.column("tensor"))
-        side, size = _side(t.shape[1]), t.shape[1]
+        side = _side(t.shape[1])
         low, high = rows.column("low")[0].as_py(), rows.column("high")[0].as_py()
         left, right = (np.flatnonzero(own == x) for x in (low, high))
         turned = [rot90(t, side, k) if k else t for k in turns]
@@ -125,20 +156,22 @@ def _kernel(threshold: float, turns: tuple[int, ...], metric: str, owners: bool,
                     b = second[j : j + PART]
                     if b[-1] <= a[0]:
                         continue
-                    m = costs(t[a], [x[b] for x in turned], px_sum[a], px_sum[b]) / size
-                    hit = (m <= threshold) & (a[:, None] < b[None])
-                    if not hit.any():
+                    x, y, m = close(t[a], [z[b] for z in turned], px_sum[a], px_sum[b])
+                    later = a[x] < b[y]
+                    x, y, m = a[x[later]], b[y[later]], m[later]
+                    if not len(x):
                         continue
-                    x, y = np.nonzero(hit)
                     if not owners:
-                        found.append((ids[a[x]], ids[b[y]], m[x, y]))
+                        found.append((ids[x], ids[y], m))
                         continue
-                    # rows of a ascend, so a column's first hit is its smallest id
-                    cols = np.flatnonzero(hit.any(0))
-                    rows_ = hit[:, cols].argmax(0)
-                    better = ids[a[rows_]] < best[0, b[cols]]
-                    best[0, b[cols[better]]] = ids[a[rows_[better]]]
-                    best_mse[b[cols[better]]] = m[rows_[better], cols[better]]
+                    # positions ascend with ids: of each later image, the first earlier one
+                    order = np.lexsort((x, y))
+                    x, y, m = x[order], y[order], m[order]
+                    new = np.r_[True, y[1:] != y[:-1]]
+                    x, y, m = x[new], y[new], m[new]
+                    better = ids[x] < best[0, y]
+                    best[0, y[better]] = ids[x[better]]
+                    best_mse[y[better]] = m[better]
         if owners:
             some = np.flatnonzero(best[0] < np.inf)
             found = [(best[0, some].astype(np.int64), ids[some], best_mse[some])]

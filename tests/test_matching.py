@@ -187,3 +187,18 @@ def test_resampling():
     small = T.resample(ramp, 20).astype(int)
     assert small.shape == (20, 20, 3) and (np.diff(small[:, :, 0], axis=1) >= 0).all() and abs(small.mean() - ramp.mean()) < 1
     assert T.resample(rng.integers(0, 256, (1, 1, 3)).astype(np.uint8), 10).std(axis=(0, 1)).max() == 0
+
+
+@pytest.mark.parametrize("metric", ["wrapped", "exact"])
+def test_close_pairs_are_those_of_whole_costs(metric, monkeypatch):
+    rng = np.random.default_rng(5)
+    a = rng.integers(0, 256, (40, 300)).astype(np.uint8)
+    b = np.concatenate([a[:20] + rng.integers(0, 3, (20, 300)).astype(np.uint8), rng.integers(0, 256, (30, 300)).astype(np.uint8)])
+    turned = [b, b[:, ::-1].copy()]
+    cost = T.wrapped_cost if metric == "wrapped" else T.true_cost
+    best = np.minimum(*(cost(a, x) for x in turned)) / 300
+    for threshold in (0, 2, 80, 90, 10_000, 1e9):
+        want = [(i, j, best[i, j]) for i, j in np.argwhere(best <= threshold)]
+        for cut in (1, 64, 300, 512):
+            monkeypatch.setattr(matching, "CUT", cut)
+            assert list(zip(*matching.close_pairs(a, turned, threshold, metric), strict=True)) == want
