@@ -35,20 +35,26 @@ SEEN = 3
 LEAF_BYTES, LEAF_IDS = 8, 256
 #: Bytes of a window up to which it is merged by a scan of its pairs instead of a heap.
 SCAN_BYTES = 192
-#: Encodings of pieces, of up to SHORT characters each, that a worker remembers before it forgets them all.
+#: Encodings of pieces, of up to SHORT characters each, that a worker remembers, and as many older ones.
 REMEMBERED, SHORT = 1 << 18, 48
 
 
 class _Memory(dict):
-    """Piece -> its ids as little-endian 32-bit integers; bounded."""
+    """Piece -> its ids as little-endian 32-bit integers; bounded.
+
+    When it is full, what it has becomes the older half, from which pieces come back as they are asked for; the half before goes.
+    """
 
     def __init__(self, make):
-        self.make = make
+        self.make, self.older = make, {}
 
     def __missing__(self, piece: str) -> bytes:
-        out = np.array(self.make(piece.encode()), "<u4").tobytes()
+        out = self.older.pop(piece, None)
+        if out is None:
+            out = np.array(self.make(piece.encode()), "<u4").tobytes()
         if len(piece) <= SHORT:
             if len(self) >= REMEMBERED:
+                self.older = dict(self)
                 self.clear()
             self[piece] = out
         return out
