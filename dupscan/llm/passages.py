@@ -95,21 +95,68 @@ def _marked(keys: np.ndarray, at: np.ndarray, words: np.ndarray) -> np.ndarray:
     return np.where(periodic, (keys ^ _MULTIPLIER) * _MULTIPLIER, keys)
 
 
+def seeds_of_all(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, key, position) of the seeds of texts of MIN_WORDS words or more, as seeds finds them one by one; ~position where the text has had the key before."""
+    words = np.concatenate(texts)
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    begin = np.cumsum(sizes) - sizes
+    n = len(words) - SEED + 1
+    h = np.zeros(n, np.uint64)
+    for j in range(SEED):
+        h = (h ^ words[j : j + n]) * _MULTIPLIER
+        h ^= h >> np.uint64(29)
+    # least hashes of 1, 2, 4, 8, then WINDOW successive places
+    least, width = h, 1
+    while 2 * width <= WINDOW:
+        least = np.minimum(least[:-width], least[width:])
+        width *= 2
+    least = np.minimum(least[: n - WINDOW + 1], least[WINDOW - width : WINDOW - width + n - WINDOW + 1])
+    # windows that lie in one text
+    inside = np.zeros(len(words) + 1, np.int64)
+    np.add.at(inside, begin, 1)
+    np.add.at(inside, begin + sizes - SEED - WINDOW + 2, -1)
+    open_ = np.flatnonzero(np.cumsum(inside)[: n - WINDOW + 1] > 0)
+    found = []
+    for k in range(WINDOW):  # the first place that has the least hash
+        hit = h[open_ + k] == least[open_]
+        found.append(open_[hit] + k)
+        open_ = open_[~hit]
+    at = np.unique(np.concatenate(found))
+    of = np.searchsorted(begin, at, "right") - 1
+    key, pos = h[at], at - begin[of]
+    order = np.lexsort((key, of))
+    again = np.zeros(len(at), bool)
+    again[order[1:]] = (key[order][1:] == key[order][:-1]) & (of[order][1:] == of[order][:-1])
+    for i in np.unique(of[again]).tolist():
+        own = slice(*np.searchsorted(of, [i, i + 1]))
+        key[own] = _marked(key[own], pos[own], texts[i])
+        again[own] = True
+        again[own.start + np.unique(key[own], return_index=True)[1]] = False
+    return of, key, np.where(again, ~pos, pos)
+
+
 def _seed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(node, text) -> (key, node, pos); pos is ~pos where the key has occurred in the text before."""
     for batch in batches:
-        keys, nodes, places = [], [], []
+        nodes: list[int] = []
+        texts: list[np.ndarray] = []
+        size = 0
+
+        def done() -> pa.RecordBatch:
+            of, key, pos = seeds_of_all(texts)
+            return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.array(nodes, np.int64)[of]), pa.array(pos.astype(np.int32))], ["key", "node", "pos"])
+
         for node, text in zip(batch.column("node").to_pylist(), batch.column("text").to_pylist(), strict=True):
             words = word_hashes(text)
-            key, at = seeds(words)
             if len(words) >= MIN_WORDS:
-                first = np.zeros(len(key), bool)
-                first[np.unique(key, return_index=True)[1]] = True
-                keys.append(key)
-                places.append(np.where(first, at, ~at))
-                nodes.append(np.full(len(key), node, np.int64))
-        if keys:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(nodes)), pa.array(np.concatenate(places).astype(np.int32))], ["key", "node", "pos"])
+                nodes.append(node)
+                texts.append(words)
+                size += len(words)
+            if size >= 1 << 18:
+                yield done()
+                nodes, texts, size = [], [], 0
+        if texts:
+            yield done()
 
 
 def long_keys(words: np.ndarray, keys: np.ndarray, at: np.ndarray, state: np.ndarray, exact: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -267,11 +314,16 @@ def _equal(c: np.ndarray, a: np.ndarray) -> int:
 def _resume(c: np.ndarray, a: np.ndarray) -> tuple[int, int] | None:
     """The smallest edit behind which RESUME words are equal again: words left out of either."""
     x, y = c[: EDIT + RESUME].tolist(), a[: EDIT + RESUME].tolist()
-    for total in range(1, 2 * EDIT + 1):
-        for i in range(max(0, total - EDIT), min(EDIT, total) + 1):
-            if x[i : i + RESUME] == y[total - i : total - i + RESUME] and len(x) >= i + RESUME:
-                return i, total - i
-    return None
+    there: dict[tuple, int] = {}
+    for j in range(len(y) - RESUME, 0, -1):
+        there[tuple(y[j : j + RESUME])] = j  # the first place of each but 0
+    best = None
+    for i in range(len(x) - RESUME + 1):
+        run = tuple(x[i : i + RESUME])
+        j = 0 if i and len(y) >= RESUME and run == tuple(y[:RESUME]) else there.get(run)
+        if j is not None and (best is None or i + j < best[0] + best[1]):
+            best = i, j
+    return best
 
 
 def align(c: np.ndarray, a: np.ndarray, anchors: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
@@ -293,6 +345,8 @@ def align(c: np.ndarray, a: np.ndarray, anchors: list[tuple[int, int]]) -> list[
         # on from the last run over small edits, up to the next seed
         while runs:
             x, y, k = runs[-1]
+            if x + k >= i or y + k >= j:
+                break
             edit = _resume(c[x + k :], a[y + k :])
             if edit is None or x + k + edit[0] >= i or y + k + edit[1] >= j:
                 break
@@ -564,10 +618,12 @@ def _open_texts(rows: DataFrame, shared: DataFrame, parts: DataFrame) -> DataFra
 def _long_matches(texts: DataFrame) -> DataFrame:
     """(c_node, c_pos, a_node, a_pos): both ends of the long keys of texts, each with the first node that has the key."""
     keys = scratch(texts.mapInArrow(_long_rows, "key bigint, node bigint, pos int, span int, open boolean"), "long")
-    firsts = scratch(_firsts(keys, F.struct("pos", "span")), "long-firsts")
+    # one number, as structs are aggregated by sorting
+    firsts = scratch(_firsts(keys, F.shiftleft(F.col("pos").cast("long"), 16).bitwiseOR(F.col("span"))), "long-firsts")
+    firsts = firsts.select("key", "a_node", F.shiftright("a_pos", 16).cast("int").alias("first"), F.col("a_pos").bitwiseAND(0xFFFF).cast("int").alias("reach"))
     met = keys.where("open").join(firsts, "key").where("node != a_node")
     ends = lambda x, pos, span: F.array(F.struct(x.alias("c"), pos.alias("a")), F.struct((x + F.col("span")).alias("c"), (pos + span).alias("a")))
-    met = met.select("node", "a_node", F.explode(ends(_place("pos"), F.col("a_pos.pos"), F.col("a_pos.span"))).alias("end"))
+    met = met.select("node", "a_node", F.explode(ends(_place("pos"), F.col("first"), F.col("reach"))).alias("end"))
     out = scratch(met.select(F.col("node").alias("c_node"), F.col("end.c").alias("c_pos"), "a_node", F.col("end.a").alias("a_pos")).distinct(), "matches")
     for x in (keys, firsts):
         drop_scratch(x)

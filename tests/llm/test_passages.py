@@ -42,6 +42,32 @@ def test_equal_stretches_share_a_seed():
     assert len(P.seeds(P.word_hashes("a b c"))[0]) == len(P.seeds(P.word_hashes(None))[0]) == 0
 
 
+def test_seeds_of_all_are_those_of_each():
+    rng = random.Random(14)
+    texts = [_words(rng, rng.randint(50, 400)) for _ in range(30)] + [["a"] * 500, ["x", "y", "z"] * 300, [rng.choice("ab") for _ in range(900)], ["la"] * 50, [rng.choice("qwe") for _ in range(51)]]
+    texts += [_words(rng, 70) + [rng.choice("ab") for _ in range(40)] + _words(rng, 30)]
+    rng.shuffle(texts)
+    words = [P.word_hashes(" ".join(t)) for t in texts]
+    of, keys, places = P.seeds_of_all(words)
+    for i, x in enumerate(words):
+        key, at = P.seeds(x)
+        first = np.isin(np.arange(len(key)), np.unique(key, return_index=True)[1])
+        assert (keys[of == i] == key).all() and (places[of == i] == np.where(first, at, ~at)).all()
+
+
+def _smallest_edit(x, y):
+    n = P.RESUME
+    ways = [(i + j, i, j) for i in range(P.EDIT + 1) for j in range(P.EDIT + 1) if i + j and len(x) >= i + n and len(y) >= j + n and x[i : i + n] == y[j : j + n]]
+    return min(ways)[1:] if ways else None
+
+
+def test_smallest_edits_by_brute_force():
+    rng = random.Random(15)
+    for _ in range(5000):
+        x, y = ([rng.randrange(3) for _ in range(rng.randint(0, 16))] for _ in range(2))
+        assert P._resume(np.array(x, int), np.array(y, int)) == _smallest_edit(x, y)
+
+
 def test_alignment_over_edits():
     rng = random.Random(3)
     text = _words(rng, 120)
