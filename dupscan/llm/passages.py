@@ -553,7 +553,7 @@ def find_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     more = _verified(docs, texts.select("node", "text"), matches)
     for x in (texts, matches):
         drop_scratch(x)
-    merged = parts.union(more).where(F.col("similarity") < EXACT).repartition("c_node", "a_node").sortWithinPartitions("c_node", "a_node", "c_start", "a_start").mapInArrow(_merged, _SCHEMA)
+    merged = parts.union(more).where(F.col("similarity") < EXACT).repartition("c_node", "a_node").sortWithinPartitions("c_node", "a_node", "c_start", "a_start", "c_end", "a_end").mapInArrow(_merged, _SCHEMA)
     out = scratch(merged, "passages")
     for x in (parts, more):
         drop_scratch(x)
@@ -577,7 +577,7 @@ _SCHEMA = "c_node bigint, c_start int, c_end int, a_node bigint, a_start int, a_
 def _verified(docs: DataFrame, rows: DataFrame, matches: DataFrame) -> DataFrame:
     """Passages, stretch by stretch, along the chains of matches (c_node, c_pos, a_node, a_pos) of rows (node, text)."""
     matches = matches.select("c_node", F.expr(f"c_pos div {CORE}").cast("int").alias("c_seg"), "a_node", F.expr(f"a_pos div {CORE}").cast("int").alias("a_seg"), "c_pos", "a_pos")
-    links = matches.repartition(*_PAIR).sortWithinPartitions(*_PAIR, "c_pos").mapInArrow(_chained, "c_node bigint, c_seg int, a_node bigint, a_seg int, chains binary")
+    links = matches.repartition(*_PAIR).sortWithinPartitions(*_PAIR, "c_pos", "a_pos").mapInArrow(_chained, "c_node bigint, c_seg int, a_node bigint, a_seg int, chains binary")
     links = scratch(links.withColumn("link", F.monotonically_increasing_id()), "links")
     free_shuffles(docs)
     one = links.select("link", F.lit(0).alias("side"), F.col("c_node").alias("node"), F.col("c_seg").alias("seg"), "chains")
