@@ -17,6 +17,8 @@ SPACE_CLASS = r"[\x20\x09-\x0D]"
 #: The same six characters, for btrim and translate.
 SPACES = " \t\n\x0b\f\r"
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
+#: Rows of a narrow scratch table that go into one file at least, but for one file or two a core.
+FILE_ROWS = 50_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +52,15 @@ def scratch(df: DataFrame, label: str, partitions: int | None = None) -> DataFra
     return spark.read.schema(df.schema).parquet(path)
 
 
+def files_for(spark: SparkSession, rows: int) -> int:
+    """Files of a scratch table of about so many narrow rows: two a core, and more where it is large.
+
+    Without it a table of a few rows has as many files as there are shuffle partitions. On a local disk Hadoop starts a process for
+    each file to set its mode, and while it starts, it counts as another copy of the executor.
+    """
+    return max(2 * spark.sparkContext.defaultParallelism, -(-rows // FILE_ROWS))
+
+
 def drop_scratch(df: DataFrame) -> None:
     """Delete the files behind a scratch table that nothing reads any more."""
     spark = df.sparkSession
@@ -131,27 +142,28 @@ def local_components(a, b, nodes: int):
     return label
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rows: int | None = None) -> DataFrame:
     """(node, component): the smallest node reachable, for every node that has an edge to another one.
 
     Alternates large-star and small-star steps until the edges are stars. Every step joins two written tables on the
     node, so adaptive execution can split the rows of a hub over tasks; minima are combined before the shuffle. No
-    edge list reaches the driver. Null ends and loops are ignored.
+    edge list reaches the driver. Null ends and loops are ignored. rows: about how many edges there can be, if that is known.
     """
+    spark = edges.sparkSession
     e = scratch(
-        edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("u") != F.col("v"))).distinct(), "edges"
+        edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("u") != F.col("v"))).distinct(), "edges", rows and files_for(spark, rows)
     )
     mark = None
     while True:
         seen = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == mark or not seen[0]:
             break
-        mark, old = seen, e
+        mark, old, files = seen, e, files_for(spark, 2 * seen[0])
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = scratch(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "low")
-        large = scratch(both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
-        low2 = scratch(large.groupBy("u").agg(F.min("v").alias("m")), "low")
-        e = scratch(large.join(low2, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")).union(low2.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        low = scratch(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "low", files)
+        large = scratch(both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large", files)
+        low2 = scratch(large.groupBy("u").agg(F.min("v").alias("m")), "low", files)
+        e = scratch(large.join(low2, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")).union(low2.select("u", F.col("m").alias("v"))).distinct(), "edges", files)
         for x in (old, low, large, low2):
             drop_scratch(x)
     # a root with nothing below it is a node too

@@ -17,7 +17,7 @@ from math import ceil, log
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dupscan.llm.common import count_words, scratch
+from dupscan.llm.common import count_words, files_for, scratch
 
 #: Weights of the sources in order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -109,7 +109,8 @@ def copies(units: DataFrame, targets: DataFrame) -> DataFrame:
     rows = units.join(F.broadcast(t) if _few(targets) else t, F.col("source").eqNullSafe(F.col("s"))).select("source", "key", "w", share.alias("share"), F.ceil(F.col("n") / FAN).alias("buckets"))
     rows = rows.withColumn("whole", F.floor("share").cast("int")).withColumn("p", F.col("share") - F.col("whole"))
     whole = rows.select("source", "key", "whole")
-    most = targets.agg(F.max("n")).first()[0] or 1
+    most, docs = targets.agg(F.max("n"), F.sum("n")).first()
+    most, docs = most or 1, docs or 0
     levels = max(1, ceil(log(max(most / FAN, 1)) / log(FAN)) + 1)
     now = rows.where("p > 0").select("source", F.pmod(F.xxhash64(F.lit(7), "key"), F.col("buckets")).alias("bucket"), "key", "p", "w")
     done = None
@@ -117,7 +118,7 @@ def copies(units: DataFrame, targets: DataFrame) -> DataFrame:
         last = i == levels - 1
         if last:
             now = now.withColumn("bucket", F.lit(0).cast("long"))
-        met = scratch(_level(now, i, last), f"mix{i}")
+        met = scratch(_level(now, i, last), f"mix{i}", files_for(units.sparkSession, docs // FAN**i))
         part = met.select("source", F.explode("done").alias("d")).select("source", "d.key", F.col("d.p").cast("int").alias("extra"))
         done = part if done is None else done.union(part)
         now = met.where("p > 0 and p < 1").select("source", F.expr(f"bucket div {FAN}").alias("bucket"), "key", "p", "w")
@@ -142,7 +143,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rows = scratch(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), count_words(F.col(text_col)).alias("size")), "sizes")
     targets = scratch(source_targets(rows, weights, most), "targets")
     units = rows.where("size > 0").groupBy("source", _unit_key("doc_id", "size").alias("key")).agg(F.sum("size").cast("double").alias("w"))
-    taken = scratch(copies(units, targets), "copies")
+    taken = scratch(copies(units, targets), "copies", files_for(docs.sparkSession, rows.count()))
     keyed = rows.withColumn("key", _unit_key("doc_id", "size"))
     left = keyed.join(taken.withColumnRenamed("source", "s").withColumnRenamed("key", "k"), (F.col("key") == F.col("k")) & F.col("source").eqNullSafe(F.col("s")), "left").drop("s", "k", "key")
     t = targets.select(F.col("source").alias("s"), "source_size", "target")

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dupscan.llm.common import drop_scratch, free_shuffles, scratch, word_chunks
+from dupscan.llm.common import drop_scratch, files_for, free_shuffles, scratch, word_chunks
 
 #: Words of a seed, and successive seeds of which the least stays.
 SEED, WINDOW = 10, 11
@@ -540,9 +540,10 @@ def find_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     rows = docs.select(node_key(id_col, text_col).alias("node"), F.col(text_col).cast("string").alias("text"))
     found = scratch(rows.mapInArrow(_seed_rows, "key bigint, node bigint, pos int"), "seeds")
-    firsts = scratch(_firsts(found, F.col("pos")), "firsts")
+    spark, n = docs.sparkSession, found.count()
+    firsts = scratch(_firsts(found, F.col("pos")), "firsts", files_for(spark, n // 2))
     free_shuffles(docs)
-    shared = scratch(found.join(firsts, "key").select("key", "node", _place("pos").alias("pos"), "a_node", "a_pos"), "shared")
+    shared = scratch(found.join(firsts, "key").select("key", "node", _place("pos").alias("pos"), "a_node", "a_pos"), "shared", files_for(spark, n))
     for x in (found, firsts):
         drop_scratch(x)
     free_shuffles(docs)
@@ -554,7 +555,7 @@ def find_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     for x in (texts, matches):
         drop_scratch(x)
     merged = parts.union(more).where(F.col("similarity") < EXACT).repartition("c_node", "a_node").sortWithinPartitions("c_node", "a_node", "c_start", "a_start", "c_end", "a_end").mapInArrow(_merged, _SCHEMA)
-    out = scratch(merged, "passages")
+    out = scratch(merged, "passages", files_for(spark, parts.count() + more.count()))
     for x in (parts, more):
         drop_scratch(x)
     free_shuffles(docs)
@@ -577,15 +578,17 @@ _SCHEMA = "c_node bigint, c_start int, c_end int, a_node bigint, a_start int, a_
 def _verified(docs: DataFrame, rows: DataFrame, matches: DataFrame) -> DataFrame:
     """Passages, stretch by stretch, along the chains of matches (c_node, c_pos, a_node, a_pos) of rows (node, text)."""
     matches = matches.select("c_node", F.expr(f"c_pos div {CORE}").cast("int").alias("c_seg"), "a_node", F.expr(f"a_pos div {CORE}").cast("int").alias("a_seg"), "c_pos", "a_pos")
+    spark = docs.sparkSession
     links = matches.repartition(*_PAIR).sortWithinPartitions(*_PAIR, "c_pos", "a_pos").mapInArrow(_chained, "c_node bigint, c_seg int, a_node bigint, a_seg int, chains binary")
-    links = scratch(links.withColumn("link", F.monotonically_increasing_id()), "links")
+    links = scratch(links.withColumn("link", F.monotonically_increasing_id()), "links", files_for(spark, matches.count()))
     free_shuffles(docs)
     one = links.select("link", F.lit(0).alias("side"), F.col("c_node").alias("node"), F.col("c_seg").alias("seg"), "chains")
     two = links.select("link", F.lit(1), "a_node", "a_seg", F.lit(None).cast("binary"))
     sides = one.union(two)
     words = rows.mapInArrow(_stretches, "node bigint, seg int, words binary")
     both = sides.join(words, ["node", "seg"]).repartition("link").sortWithinPartitions("link", "side")
-    parts = scratch(both.mapInArrow(_aligned, _SCHEMA), "parts")
+    # a link brings two stretches, of up to 5 kB each
+    parts = scratch(both.mapInArrow(_aligned, _SCHEMA), "parts", files_for(spark, 8 * links.count()))
     drop_scratch(links)
     free_shuffles(docs)
     return parts
@@ -595,17 +598,18 @@ def _open_texts(rows: DataFrame, shared: DataFrame, parts: DataFrame) -> DataFra
     """(node, text, seeds, exact) of the texts (rows) whose shared seeds have long keys to be matched again; parts: the passages so far."""
     of = F.struct(F.col("c_start").alias("s"), F.col("c_end").alias("e"))
     spans = parts.groupBy("c_node").agg(F.collect_set(F.when(F.col("similarity") < EXACT, of)).alias("spans"), F.collect_set(F.when(F.col("similarity") >= EXACT, of)).alias("exact"))
-    spans = scratch(spans, "spans")
+    files = files_for(rows.sparkSession, shared.count())
+    spans = scratch(spans, "spans", files)
     within = lambda spans, before, after: F.coalesce(F.exists(spans, lambda x: (F.col("pos") - before >= x["s"]) & (F.col("pos") + after <= x["e"])), F.lit(False))
     # no key reaches out of a run from so deep inside
     flagged = shared.join(spans, F.col("node") == F.col("c_node"), "left").where(~within("exact", FAR, FAR + SEED))
-    flagged = scratch(flagged.select("key", "node", "pos", ((F.col("node") != F.col("a_node")) & ~within("spans", 0, SEED)).alias("open")), "flagged")
+    flagged = scratch(flagged.select("key", "node", "pos", ((F.col("node") != F.col("a_node")) & ~within("spans", 0, SEED)).alias("open")), "flagged", files)
     free_shuffles(rows)
-    keys = scratch(flagged.where("open").select(F.col("key").alias("k")).distinct(), "keys")
+    keys = scratch(flagged.where("open").select(F.col("key").alias("k")).distinct(), "keys", files)
     state = F.when(F.col("open"), OPEN).when(F.col("k").isNotNull(), 1).otherwise(0).cast("tinyint")
     some = flagged.join(keys, F.col("key") == F.col("k"), "left").select("node", "key", "pos", state.alias("state"))
     found = some.repartition("node").sortWithinPartitions("node", "pos").mapInArrow(_candidates, "node bigint, seeds binary")
-    found = scratch(found.join(spans.select("c_node", "exact"), F.col("node") == F.col("c_node"), "left").select("node", "seeds", "exact"), "candidates")
+    found = scratch(found.join(spans.select("c_node", "exact"), F.col("node") == F.col("c_node"), "left").select("node", "seeds", "exact"), "candidates", files)
     for x in (flagged, keys, spans):
         drop_scratch(x)
     free_shuffles(rows)
@@ -618,13 +622,14 @@ def _open_texts(rows: DataFrame, shared: DataFrame, parts: DataFrame) -> DataFra
 def _long_matches(texts: DataFrame) -> DataFrame:
     """(c_node, c_pos, a_node, a_pos): both ends of the long keys of texts, each with the first node that has the key."""
     keys = scratch(texts.mapInArrow(_long_rows, "key bigint, node bigint, pos int, span int, open boolean"), "long")
+    spark, n = texts.sparkSession, keys.count()
     # one number, as structs are aggregated by sorting
-    firsts = scratch(_firsts(keys, F.shiftleft(F.col("pos").cast("long"), 16).bitwiseOR(F.col("span"))), "long-firsts")
+    firsts = scratch(_firsts(keys, F.shiftleft(F.col("pos").cast("long"), 16).bitwiseOR(F.col("span"))), "long-firsts", files_for(spark, n // 2))
     firsts = firsts.select("key", "a_node", F.shiftright("a_pos", 16).cast("int").alias("first"), F.col("a_pos").bitwiseAND(0xFFFF).cast("int").alias("reach"))
     met = keys.where("open").join(firsts, "key").where("node != a_node")
     ends = lambda x, pos, span: F.array(F.struct(x.alias("c"), pos.alias("a")), F.struct((x + F.col("span")).alias("c"), (pos + span).alias("a")))
     met = met.select("node", "a_node", F.explode(ends(_place("pos"), F.col("first"), F.col("reach"))).alias("end"))
-    out = scratch(met.select(F.col("node").alias("c_node"), F.col("end.c").alias("c_pos"), "a_node", F.col("end.a").alias("a_pos")).distinct(), "matches")
+    out = scratch(met.select(F.col("node").alias("c_node"), F.col("end.c").alias("c_pos"), "a_node", F.col("end.a").alias("a_pos")).distinct(), "matches", files_for(spark, n))
     for x in (keys, firsts):
         drop_scratch(x)
     return out
@@ -669,5 +674,6 @@ def cut_passages(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text
     names = [c for c in docs.columns if c != "cut_words"]
     rows = docs.select(*names, node_key(id_col, text_col).alias("_node")).join(spans, F.col("_node") == F.col("c_node"), "left")
     union = F.aggregate(F.array_sort("_spans"), F.struct(F.lit(0).alias("end"), F.lit(0).alias("n")), lambda s, x: F.struct(F.greatest(s["end"], x["end"]).alias("end"), (s["n"] + F.greatest(F.lit(0), x["end"] - F.greatest(s["end"], x["start"]))).alias("n")), lambda s: s["n"])
-    new = F.arrow_udf(_cut, "string")(F.col(text_col), F.col("_spans"))
+    # else the optimizer copies it into filters on the text, and each task cuts twice, in two workers
+    new = F.arrow_udf(_cut, "string").asNondeterministic()(F.col(text_col), F.col("_spans"))
     return rows.withColumn("cut_words", F.coalesce(union, F.lit(0))).withColumn(text_col, new).select(*names, "cut_words")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dupscan.llm.common import connected_components, local_components, scratch, word_chunks
+from dupscan.llm.common import connected_components, files_for, local_components, scratch, word_chunks
 
 #: Fingerprints link at this many differing bits or fewer.
 MAX_BITS = 3
@@ -155,10 +155,11 @@ def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def hamming_links(distinct: DataFrame, fp: str = "fp", n: int | None = None) -> DataFrame:
     """(a, b): links that span every component of distinct fingerprints at MAX_BITS bits or fewer."""
     n = distinct.count() if n is None else n
-    keys = F.array(*[F.struct(F.lit(t).cast("short").alias("t"), F.col(fp).bitwiseAND(F.lit(m).cast("long")).alias("key")) for t, m in enumerate(block_masks(blocks_for(n)))])
+    masks = block_masks(blocks_for(n))
+    keys = F.array(*[F.struct(F.lit(t).cast("short").alias("t"), F.col(fp).bitwiseAND(F.lit(m).cast("long")).alias("key")) for t, m in enumerate(masks)])
     rows = distinct.select(F.col(fp).alias("fp"), F.explode(keys).alias("k")).select("fp", "k.t", "k.key")
     tiles = F.ceil(F.col("count") / TILE).cast("int")
-    full = scratch(rows.groupBy("t", "key").count().where("count > 1").select("t", "key", tiles.alias("tiles")), "buckets")
+    full = scratch(rows.groupBy("t", "key").count().where("count > 1").select("t", "key", tiles.alias("tiles")), "buckets", files_for(distinct.sparkSession, n * len(masks) // 2))
     own = F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int")
     met = rows.join(full, ["t", "key"]).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     group = ["t", "key", "low", "high"]
@@ -168,11 +169,14 @@ def hamming_links(distinct: DataFrame, fp: str = "fp", n: int | None = None) ->
 
 def components(marked: DataFrame) -> DataFrame:
     """(fp, component_id) of fingerprints as of near_duplicates; marked: rows (doc_id, fp), fp the fingerprint."""
-    distinct = scratch(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    parts = scratch(connected_components(hamming_links(distinct)).select(F.col("node").alias("fp"), "component"), "parts")
-    firsts = scratch(distinct.join(parts, "fp").groupBy("component").agg(F.min("first").alias("lowest")), "firsts")
+    spark = marked.sparkSession
+    distinct = scratch(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct", files_for(spark, marked.count()))
+    n = distinct.count()
+    files, links = files_for(spark, n), n * len(block_masks(blocks_for(n)))
+    parts = scratch(connected_components(hamming_links(distinct, n=n), rows=links).select(F.col("node").alias("fp"), "component"), "parts", files)
+    firsts = scratch(distinct.join(parts, "fp").groupBy("component").agg(F.min("first").alias("lowest")), "firsts", files)
     named = parts.join(firsts, "component").select("fp", "lowest")
-    return scratch(distinct.join(named, "fp", "left").select("fp", F.coalesce("lowest", "first").alias("component_id")), "labels")
+    return scratch(distinct.join(named, "fp", "left").select("fp", F.coalesce("lowest", "first").alias("component_id")), "labels", files)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -41,3 +41,27 @@ def test_components_of_random_links(spark):
             parent[high] = low
     got = {r.node: r.component for r in common.connected_components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
     assert got == {x: root(x) for x in parent}
+
+
+def test_few_links_go_into_few_files(spark, monkeypatch):
+    files, real = [], common.scratch
+
+    def scratch(df, label, *more):
+        out = real(df, label, *more)
+        files.append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(common, "scratch", scratch)
+    many = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in many}
+    try:
+        for k, v in many.items():
+            spark.conf.set(k, v)
+        links = spark.createDataFrame([(i, i + 1) for i in range(300)], "a bigint, b bigint")
+        assert {r.component for r in common.connected_components(links, rows=300).collect()} == {0}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(files) > 5 and max(files) <= 2 * spark.sparkContext.defaultParallelism
+    # large tables are not squeezed
+    assert common.files_for(spark, 10**9) == 10**9 // common.FILE_ROWS

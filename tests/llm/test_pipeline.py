@@ -7,7 +7,7 @@ import pytest
 import tiktoken
 
 import corpus_pipeline
-from dupscan.llm import mixing, passages, quality, simhash
+from dupscan.llm import common, mixing, passages, quality, simhash
 
 
 def _text(rng, n):
@@ -122,3 +122,37 @@ def test_an_empty_table(spark, tables, tmp_path):
 
 def test_parameters_are_the_operators():
     assert (passages.SHINGLE, passages.SIMILARITY, simhash.MAX_BITS, quality.WINDOW) == (5, 0.8, 3, 8)
+
+
+def test_a_text_is_cut_once(spark, tables):
+    where, _ = tables
+    docs = spark.read.parquet(f"{where}/documents.parquet")
+    plan = corpus_pipeline.substring_dedup(spark, docs, where)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
+def test_small_tables_go_into_few_files(spark, tables, monkeypatch):
+    where, _ = tables
+    files, real = {}, common.scratch
+
+    def scratch(df, label, *more):
+        out = real(df, label, *more)
+        files[label] = max(files.get(label, 0), len(out.inputFiles()))
+        return out
+
+    for module in (common, simhash, passages, mixing, corpus_pipeline):
+        monkeypatch.setattr(module, "scratch", scratch)
+    many = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in many}
+    try:
+        for k, v in many.items():
+            spark.conf.set(k, v)
+        docs = spark.read.parquet(f"{where}/documents.parquet")
+        for stage in (corpus_pipeline.simhash_dedup, corpus_pipeline.substring_dedup, corpus_pipeline.mix_sources):
+            stage(spark, docs, where)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {"distinct", "edges", "labels", "firsts", "links", "parts", "passages", "copies"} <= set(files)
+    # rows with whole texts may be large, however few they are
+    assert max(n for label, n in files.items() if label != "open") <= 2 * spark.sparkContext.defaultParallelism, files
