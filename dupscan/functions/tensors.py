@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Rows that wrapped_near adds up at once, so that they stay in a core's cache.
+NEAR_ROWS = 128
 
 def rot90(tensors: np.ndarray, px: int, turns: int = 1) -> np.ndarray:
     """Tensors (one a row) turned counter-clockwise by quarter turns."""
@@ -36,6 +38,58 @@ def true_cost(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.rint((x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * (x @ y.T)).astype(np.int64)
 
 
+def _where(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the true places, in order; looks at eight places at once, as few are true."""
+    flat, width = mask.ravel(), max(1, mask.shape[1])
+    whole = len(flat) // 8 * 8
+    words = np.flatnonzero(flat[:whole].view(np.uint64))
+    i, j = np.nonzero(flat[:whole].reshape(-1, 8)[words])
+    at = np.r_[words[i] * 8 + j, whole + np.flatnonzero(flat[whole:])]
+    return at // width, at % width
+
+
+def wrapped_near(a: np.ndarray, b: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j) of all pairs of rows with wrapped_cost of at most limit, in order, and of few others.
+
+    Per byte, an eighth of the square modulo 256, rounded down: eight of these add up within a byte. They come from a table of
+    each value of a against all of b, so a byte of a pair costs a copy and an addition of bytes.
+    """
+    (n, size), m = a.shape, len(b)
+    total = np.zeros((n, m), np.uint16 if size * 31 < 1 << 16 else np.int64)
+    part, more = np.empty((2, min(n, NEAR_ROWS), m), np.uint8)
+    for at in range(0, size, 8):
+        tables = []
+        for k in range(at, min(size, at + 8)):
+            values = np.flatnonzero(np.bincount(a[:, k], minlength=256)).astype(np.uint8)
+            place = np.zeros(256, np.intp)
+            place[values] = np.arange(len(values))
+            d = values[:, None] - b[:, k][None]
+            np.multiply(d, d, out=d)
+            tables.append((np.right_shift(d, 3, out=d), place[a[:, k]]))
+        for i in range(0, n, NEAR_ROWS):
+            rows = slice(0, min(n - i, NEAR_ROWS))
+            for first, (table, place) in enumerate(tables):
+                # the places are all valid; "clip" spares a copy
+                np.take(table, place[i : i + NEAR_ROWS], axis=0, out=(more if first else part)[rows], mode="clip")
+                if first:
+                    np.add(part[rows], more[rows], out=part[rows])
+            np.add(total[i : i + NEAR_ROWS], part[rows], out=total[i : i + NEAR_ROWS])
+    return _where(total <= np.clip(limit // 8, -1, size * 31))
+
+
+def true_near(a: np.ndarray, b: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j) of all pairs of rows with true_cost of at most limit, in order, and of few others.
+
+    cost <= limit where x y - (x x + y y) / 2 >= -limit / 2, a product of floats; of up to 512 bytes around 0 all sums are below
+    2 ** 25, so each of its additions is wrong by 1 at most.
+    """
+    x, y = a.astype(np.float32) - 128, b.astype(np.float32) - 128
+    half = lambda z: ((z * z).sum(1, dtype=np.float64) / 2).astype(np.float32)[:, None]
+    one = lambda z: np.ones((len(z), 1), np.float32)
+    near = np.hstack([x, half(x), one(x)]) @ np.hstack([y, -one(y), -half(y)]).T
+    return _where(near >= -limit / 2 - a.shape[1] - 4)
+
+
 def nibbles(tensors: np.ndarray) -> np.ndarray:
     """Low halves of the bytes, two packed in one: equal for tensors whose wrapped cost is 0, and only for them."""
     low = tensors & 15

@@ -6,7 +6,8 @@ pre-aggregate: no plan has to list all pairs of a group of copies.
 * exact: at threshold 0 two tensors match iff their low nibbles agree, so owners come from an equi-join on the nibbles
   of every allowed turn of the later image with the first image of each key.
 * tiles: at other thresholds, images of a bucket (folder group and unordered dimensions) are cut into tiles that meet two
-  by two in a NumPy kernel; a meeting passes on one owner an image.
+  by two in a NumPy kernel. Owners are looked for in rounds, among ever longer runs of ever greater ids: an image that has
+  matched takes no part in later rounds, as all ids there are greater.
 * sum_bucket: images of equal pixel sums match at 0 whatever their pixels; others as by tiles.
 
 In a pair the later image is turned, never the earlier one: the relation isn't symmetric.
@@ -22,13 +23,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dupscan.functions.tensors import nibbles, rot90, true_cost, wrapped_cost
+from dupscan.functions.tensors import nibbles, rot90, true_near, wrapped_near
 
-#: Images of a tile, and of a part of it that is compared at once; bytes of the tensors of a tile, which for large ones
-#: makes it smaller.
-TILE, PART, TILE_BYTES = 2048, 64, 64 << 20
+#: Images of a tile, and bytes of its tensors, which for large ones makes it smaller. Where that makes more than MANY tiles of a
+#: bucket, they are up to LARGE times as large.
+TILE, TILE_BYTES, MANY, LARGE = 2048, 64 << 20, 16, 8
+#: Earlier and later images of a tile that are compared at once.
+PARTS = (2048, 1024)
 #: Bytes of tensors that are compared before pairs that are over the threshold already are left.
 CUT = 512
+#: Images of a bucket that the first round for owners takes as earlier ones at least; each round ends at GROWTH times the images.
+FIRST, GROWTH = 2048, 4
 #: Quarter turns of the later image that are tried: as in the original semantics, and as documented.
 TURNS = (0, 1, 2)
 ALL_TURNS = (0, 1, 2, 3)
@@ -45,7 +50,7 @@ def bucketed(images: DataFrame, same_dim: bool) -> DataFrame:
 _BUCKET = ("group_id", "lo", "hi")
 
 
-def _stack(column: pa.Array) -> np.ndarray:
+def _stack(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     raw = column.to_pylist()
     return np.frombuffer(b"".join(raw), np.uint8).reshape(len(raw), -1) if raw else np.empty((0, 0), np.uint8)
 
@@ -98,15 +103,16 @@ def exact_pairs(images: DataFrame, turns: tuple[int, ...] = TURNS, same_dim: boo
 def close_pairs(a: np.ndarray, turned: list[np.ndarray], threshold: float, metric: str = "wrapped") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(i, j, mean cost) of the pairs of rows of a and b within the threshold, in order; turned: b at each turn that is tried.
 
-    Costs only grow as more bytes are compared, so a pair is left once it is over.
+    A filter leaves few pairs to be looked at byte by byte. Costs only grow as more bytes are compared, so a pair is left once
+    it is over.
     """
-    cost, size = wrapped_cost if metric == "wrapped" else true_cost, a.shape[1]
+    near, size = wrapped_near if metric == "wrapped" else true_near, a.shape[1]
     found = []
     for b in turned:
-        part = cost(a[:, :CUT], b[:, :CUT])
-        i, j = np.nonzero(part / size <= threshold)
-        total = part[i, j]
-        for at in range(CUT, size, CUT):
+        # one more, as the mean is compared, which is rounded
+        i, j = near(a[:, :CUT], b[:, :CUT], threshold * size + 1)
+        total = np.zeros(len(i), np.int64)
+        for at in range(0, size, CUT):
             if not len(i):
                 break
             for k in range(0, len(i), 1 << 14):
@@ -123,8 +129,20 @@ def close_pairs(a: np.ndarray, turned: list[np.ndarray], threshold: float, metri
     return i[first], j[first], total[first] / size
 
 
+def _first_of(x: np.ndarray, y: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the matches (x, y, m) those of the smallest x of each y."""
+    order = np.lexsort((x, y))
+    x, y, m = x[order], y[order], m[order]
+    new = np.r_[True, y[1:] != y[:-1]][: len(y)]
+    return x[new], y[new], m[new]
+
+
 def _kernel(threshold: float, turns: tuple[int, ...], metric: str, owners: bool, sums: bool):
-    """Rows sorted by meeting (group_id, lo, hi, low, high): compares them; yields pairs, or an owner an image."""
+    """Rows sorted by meeting (group_id, lo, hi, low, high): compares them; yields pairs, or an owner an image.
+
+    For pairs own is the tile of a row, low or high, and either can be the earlier image. For owners it is 0 for those that are
+    looked at as earlier images and 1 for the later ones.
+    """
     keys = (*_BUCKET, "low", "high")
 
     def close(a: np.ndarray, turned: list[np.ndarray], s_a: np.ndarray, s_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -137,46 +155,45 @@ def _kernel(threshold: float, turns: tuple[int, ...], metric: str, owners: bool,
             x, y, m = np.r_[x, u], np.r_[y, v], np.r_[m, np.zeros(len(u))]
         return x, y, m
 
-    def meeting(rows: pa.Table) -> pa.RecordBatch:
+    def meeting(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         rows = rows.sort_by("file_id")
         ids, own, px_sum = (rows.column(c).to_numpy() for c in ("file_id", "own", "px_sum"))
         t = _stack(rows.column("tensor"))
         side = _side(t.shape[1])
         low, high = rows.column("low")[0].as_py(), rows.column("high")[0].as_py()
-        left, right = (np.flatnonzero(own == x) for x in (low, high))
         turned = [rot90(t, side, k) if k else t for k in turns]
-        best = np.full((2, len(ids)), np.inf)
-        best_mse = np.zeros(len(ids))
-        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for first, second in ((left, right),) if low == high else ((left, right), (right, left)):
-            for i in range(0, len(first), PART):
-                a = first[i : i + PART]
-                # positions ascend with ids: what ends before a begins has no later image
-                for j in range(0, len(second), PART):
-                    b = second[j : j + PART]
-                    if b[-1] <= a[0]:
-                        continue
-                    x, y, m = close(t[a], [z[b] for z in turned], px_sum[a], px_sum[b])
-                    later = a[x] < b[y]
-                    x, y, m = a[x[later]], b[y[later]], m[later]
-                    if not len(x):
-                        continue
-                    if not owners:
-                        found.append((ids[x], ids[y], m))
-                        continue
-                    # positions ascend with ids: of each later image, the first earlier one
-                    order = np.lexsort((x, y))
-                    x, y, m = x[order], y[order], m[order]
-                    new = np.r_[True, y[1:] != y[:-1]]
-                    x, y, m = x[new], y[new], m[new]
-                    better = ids[x] < best[0, y]
-                    best[0, y[better]] = ids[x[better]]
-                    best_mse[y[better]] = m[better]
+
+        def matches(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """Positions and costs of matches of an image of a with a later one of b; both ascend."""
+            a, b = a[ids[a] < ids[b[-1]]] if len(b) else a[:0], b[ids[b] > ids[a[0]]] if len(a) else b[:0]
+            if not len(a) or not len(b):
+                return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+            x, y, m = close(t[a], [z[b] for z in turned], px_sum[a], px_sum[b])
+            x, y = a[x], b[y]
+            later = ids[x] < ids[y]
+            return x[later], y[later], m[later]
+
+        def batch(x: np.ndarray, y: np.ndarray, m: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(ids[x]), pa.array(ids[y]), pa.array(m)], ["id_a", "id_b", "mse"])
+
         if owners:
-            some = np.flatnonzero(best[0] < np.inf)
-            found = [(best[0, some].astype(np.int64), ids[some], best_mse[some])]
-        parts = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
-        return pa.RecordBatch.from_arrays([pa.array(parts[0].astype(np.int64)), pa.array(parts[1].astype(np.int64)), pa.array(parts[2].astype(np.float64))], ["id_a", "id_b", "mse"])
+            first, second, i, step = np.flatnonzero(own == 0), np.flatnonzero(own == 1), 0, 64
+            while i < len(first) and len(second):
+                second = second[ids[second] > ids[first[i]]]
+                found = [_first_of(*matches(first[i : i + step], second[j : j + PARTS[1]])) for j in range(0, len(second), PARTS[1])]
+                for x, y, m in found:
+                    if len(x):
+                        yield batch(x, y, m)
+                second = np.setdiff1d(second, np.concatenate([y for _, y, _ in found]), assume_unique=True) if found else second
+                i, step = i + step, min(2 * step, PARTS[0])
+            return
+        left, right = (np.flatnonzero(own == x) for x in (low, high))
+        for first, second in ((left, right),) if low == high else ((left, right), (right, left)):
+            for i in range(0, len(first), PARTS[0]):
+                for j in range(0, len(second), PARTS[1]):
+                    x, y, m = matches(first[i : i + PARTS[0]], second[j : j + PARTS[1]])
+                    if len(x):
+                        yield batch(x, y, m)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest, last = [], None
@@ -187,26 +204,60 @@ def _kernel(threshold: float, turns: tuple[int, ...], metric: str, owners: bool,
             cuts = [*np.flatnonzero(np.r_[True, (g[1:] != g[:-1]).any(1)]), len(g)]
             for x, y in zip(cuts, cuts[1:], strict=False):
                 if rest and tuple(g[x]) != last:
-                    yield meeting(pa.Table.from_batches(rest))
+                    yield from meeting(pa.Table.from_batches(rest))
                     rest = []
                 last = tuple(g[x])
                 rest.append(batch.slice(x, y - x))
         if rest:
-            yield meeting(pa.Table.from_batches(rest))
+            yield from meeting(pa.Table.from_batches(rest))
 
     return run
 
 
+def _size(times: int = 1):
+    """Images of a tile, of which the column bytes has the bytes."""
+    return F.greatest(F.lit(1), F.least(F.lit(TILE * times), F.lit(TILE_BYTES) / F.greatest(F.lit(1), F.col("bytes")))).cast("int")
+
+
+def _dealt(met: DataFrame, meetings: int) -> DataFrame:
+    """Rows of one meeting in one partition, next to each other.
+
+    Without a number adaptive execution would put all meetings into few partitions, as rows are small.
+    """
+    keys, cores = [*_BUCKET, "low", "high"], met.sparkSession.sparkContext.defaultParallelism
+    return met.repartition(max(1, min(4 * meetings, max(16 * cores, meetings // 4))), *keys).sortWithinPartitions(*keys)
+
+
 def _meetings(images: DataFrame, same_dim: bool) -> DataFrame:
-    rows = bucketed(images, same_dim)
+    rows = bucketed(images, same_dim).where("file_id is not null")
     # one row a bucket; what is joined to the images is a count, and adaptive execution splits a hot bucket
-    size = F.greatest(F.lit(1), F.least(F.lit(TILE), F.expr(f"{TILE_BYTES} div greatest(1, max(octet_length(tensor)))")))
-    tiles = rows.groupBy(*_BUCKET).agg(F.ceil(F.count("*") / size).cast("int").alias("tiles"))
+    per = rows.groupBy(*_BUCKET).agg(F.count("*").alias("n"), F.max(F.octet_length("tensor")).alias("bytes"))
+    n = F.col("n")
+    tiles = per.select(*_BUCKET, F.greatest(F.ceil(n / _size(LARGE)), F.least(F.ceil(n / _size()), F.lit(MANY))).cast("int").alias("tiles")).persist()
+    meetings = tiles.agg(F.expr("coalesce(sum(bigint(tiles) * (tiles + 1) div 2), 0)")).first()[0]
     rows = rows.join(tiles, [*_BUCKET]).withColumn("own", F.pmod(F.xxhash64("file_id"), F.col("tiles")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    keys = [*_BUCKET, "low", "high"]
     met = rows.select(*_BUCKET, F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "file_id", "px_sum", "tensor")
-    return met.repartition(*keys).sortWithinPartitions(*keys)
+    return _dealt(met, meetings)
+
+
+def _facing(earlier: DataFrame, later: DataFrame) -> DataFrame:
+    """Meetings of each tile of the earlier images with each tile of the later ones."""
+    cores = earlier.sparkSession.sparkContext.defaultParallelism
+    size = F.max(F.octet_length("tensor")).alias("bytes")
+    a = earlier.groupBy(*_BUCKET).agg(F.count("*").alias("a"), size)
+    b = later.groupBy(*_BUCKET).agg(F.count("*").alias("b"))
+    # later images are spread over the cores, however few
+    spread = F.least(F.ceil(F.col("b") / F.least(_size(), F.lit(PARTS[1]))), F.lit(2 * cores))
+    tiles = a.join(b, [*_BUCKET]).select(*_BUCKET, F.ceil(F.col("a") / _size(LARGE)).cast("int").alias("of_a"), F.greatest(F.ceil(F.col("b") / _size(LARGE)), spread).cast("int").alias("of_b")).persist()
+    meetings = tiles.agg(F.expr("coalesce(sum(bigint(of_a) * of_b), 0)")).first()[0]
+
+    def dealt(rows: DataFrame, role: int, mine: str, own: str, others: str, other: str) -> DataFrame:
+        rows = rows.join(tiles, [*_BUCKET]).withColumn(mine, F.pmod(F.xxhash64("file_id"), F.col(own)).cast("int"))
+        rows = rows.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(others) - 1)))
+        return rows.select(*_BUCKET, "low", "high", F.lit(role).alias("own"), "file_id", "px_sum", "tensor")
+
+    return _dealt(dealt(earlier, 0, "low", "of_a", "of_b", "high").unionAll(dealt(later, 1, "high", "of_b", "of_a", "low")), meetings)
 
 
 def tile_pairs(images: DataFrame, threshold: float, turns: tuple[int, ...] = TURNS, same_dim: bool = True, metric: str = "wrapped", sums: bool = False) -> DataFrame:
@@ -214,9 +265,51 @@ def tile_pairs(images: DataFrame, threshold: float, turns: tuple[int, ...] = TUR
     return _meetings(images, same_dim).mapInArrow(_kernel(threshold, turns, metric, False, sums), PAIR_SCHEMA)
 
 
+def _held(df: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """(kept, rows, number): df persisted and computed, and its rows under a plan of one node.
+
+    The plan of a round contains those before it several times. The rows are still computed again if an executor is lost.
+    """
+    spark, kept = df.sparkSession, df.persist()
+    n = kept.count()
+    rows = spark._jsparkSession.internalCreateDataFrame(kept._jdf.queryExecution().toRdd(), kept._jdf.schema(), False)
+    return kept, DataFrame(rows, spark), n
+
+
 def tile_owners(images: DataFrame, threshold: float, turns: tuple[int, ...] = TURNS, same_dim: bool = True, metric: str = "wrapped", sums: bool = False) -> DataFrame:
-    """Owners within the threshold (inclusive)."""
-    return least_owner(_meetings(images, same_dim).mapInArrow(_kernel(threshold, turns, metric, True, sums), PAIR_SCHEMA))
+    """Owners within the threshold (inclusive).
+
+    Every round runs here. Its owners, three numbers each, stay persisted.
+    """
+    first, rows, _ = _held(bucketed(images, same_dim).where("file_id is not null"))
+    most = rows.groupBy(*_BUCKET).count().agg(F.max("count")).first()[0] or 0
+    shares: list[float] = []
+    while most * (share := (shares[0] if shares else 1.0) / GROWTH) >= FIRST:
+        shares.insert(0, share)
+    # wherever a cut lies, owners are the same: its share of the images need not be exact
+    if shares:
+        cuts = rows.groupBy(*_BUCKET).agg(F.percentile_approx("file_id", shares, 100_000).alias("cuts"))
+        _, cuts, _ = _held(cuts)
+        rows = rows.join(cuts, [*_BUCKET]).withColumn("round", F.size(F.filter("cuts", lambda c: c < F.col("file_id")))).drop("cuts")
+    else:
+        rows = rows.withColumn("round", F.lit(0))
+    kept, later, out = None, rows, None
+    for k in range(len(shares) + 1):
+        met = _facing(rows.where(F.col("round") == k), later)
+        _, found, _ = _held(least_owner(met.mapInArrow(_kernel(threshold, turns, metric, True, sums), PAIR_SCHEMA)))
+        out = found if out is None else out.unionAll(found)
+        if k == len(shares):
+            break
+        old, rest = kept, later.where(F.col("round") > k).join(found.select(F.col("id_b").alias("file_id")), "file_id", "left_anti")
+        kept, later, left = _held(rest.select(*later.columns))
+        if old:
+            old.unpersist()
+        if not left:
+            break
+    for x in (first, kept):
+        if x:
+            x.unpersist()
+    return out
 
 
 def least_owner(pairs: DataFrame) -> DataFrame:

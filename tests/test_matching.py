@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -202,3 +203,52 @@ def test_close_pairs_are_those_of_whole_costs(metric, monkeypatch):
         for cut in (1, 64, 300, 512):
             monkeypatch.setattr(matching, "CUT", cut)
             assert list(zip(*matching.close_pairs(a, turned, threshold, metric), strict=True)) == want
+
+
+@pytest.mark.parametrize("size", [1, 9, 64, 300])
+def test_near_pairs_include_all_within_the_limit(size):
+    rng = np.random.default_rng(size)
+    a, b = rng.integers(0, 256, (70, size)).astype(np.uint8), rng.integers(0, 256, (37, size)).astype(np.uint8)
+    b[:20] = a[:20] + rng.integers(0, 3, (20, size)).astype(np.uint8)
+    b[20], a[60] = 255, 0
+    for near, cost in ((T.wrapped_near, T.wrapped_cost), (T.true_near, T.true_cost)):
+        costs = cost(a, b)
+        for limit in (-1, 0, 2 * size, *np.quantile(costs, [0.01, 0.5, 1]).tolist(), 1e9):
+            i, j = near(a, b, limit)
+            assert set(zip(*np.nonzero(costs <= limit), strict=True)) <= set(zip(i, j, strict=True))
+            assert (np.diff(i * len(b) + j) > 0).all()
+        few = np.quantile(costs, 0.01)
+        assert len(near(a, b, few)[0]) < 0.2 * costs.size or size < 64
+
+
+def test_owners_in_rounds_as_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(matching, "FIRST", 3)
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 256, (12, 4, 4, 3)).astype(np.uint8)
+    tensors = [np.ascontiguousarray(np.rot90(base[i] + np.uint8(s), k)) for i, s, k in zip(rng.integers(0, 12, 60), rng.choice([0, 1, 3, 9, 16], 60), rng.integers(0, 4, 60), strict=True)]
+    groups = (rng.random(60) < 0.1).astype(int).tolist()  # one large group and one small one
+    found = matching.owners(_images(spark, tensors, [(8, 8)] * 60, groups), 20)
+    assert {r.id_b: (r.id_a, r.mse) for r in found.collect()} == _brute(tensors, [(8, 8)] * 60, groups, 20, matching.TURNS, True)
+
+
+def _meeting(own, tensors):
+    n = len(own)
+    columns = {"group_id": [0] * n, "lo": [0] * n, "hi": [0] * n, "low": [0] * n, "high": [0] * n, "own": own, "file_id": list(range(n)), "px_sum": [0] * n, "tensor": [x.tobytes() for x in tensors]}
+    return pa.RecordBatch.from_pydict(columns)
+
+
+def test_images_with_an_owner_are_compared_no_more(monkeypatch):
+    compared, close = [], matching.close_pairs
+    monkeypatch.setattr(matching, "close_pairs", lambda a, turned, *x: compared.append(len(a) * len(turned[0])) or close(a, turned, *x))
+    tensors = np.random.default_rng(0).integers(0, 256, (1, 64)).astype(np.uint8).repeat(3000, 0)
+    rows = _meeting([0] * 1000 + [1] * 2000, tensors)
+    out = list(matching._kernel(5, (0,), "wrapped", True, False)(iter([rows])))
+    assert sum(compared) <= 64 * 2000  # of 2,000,000
+    assert {b: a for x in out for a, b in zip(x["id_a"].to_pylist(), x["id_b"].to_pylist(), strict=True)} == dict.fromkeys(range(1000, 3000), 0)
+
+
+def test_pairs_of_a_meeting_come_in_parts(monkeypatch):
+    monkeypatch.setattr(matching, "PARTS", (100, 50))
+    tensors = np.zeros((400, 64), np.uint8)
+    out = list(matching._kernel(5, (0,), "wrapped", False, False)(iter([_meeting([0] * 400, tensors)])))
+    assert sum(map(len, out)) == 400 * 399 // 2 and max(map(len, out)) <= 100 * 50
